@@ -1,19 +1,18 @@
 """Exact quantiles per group without putting a group into one task.
 
-Values are first counted per (group, value). Each level then splits the values of a group into ordered buckets,
-finds by running counts which buckets hold the wanted ranks, and keeps only the values in them. Level one has 256
-buckets per power of two, level two is the value as a 32-bit float, level three the value itself. Windows therefore
-only ever run over bucket totals, whose number does not grow with the number of rows.
+Values are first counted per (group, value), with map-side combine. The counts are summed into ordered buckets, 4096
+per power of two, running bucket totals tell which buckets hold the wanted ranks, and only the values of those buckets
+are looked at one by one. A window therefore runs over bucket totals, whose number does not grow with the rows, or over
+the distinct values of one bucket (at most 2048 for 32-bit floats).
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _coarse(v: Column) -> Column:
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) * F.lit(2.0 ** 40) + 1.0) * 256)).cast("long")
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) * F.lit(2.0 ** 40) + 1.0) * 4096)).cast("long")
 
 
 def _ranks(total: Column, probs: dict[str, float], method: str) -> Column:
@@ -37,8 +36,6 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     method "linear" interpolates between the two neighbouring ranks, "lower" takes the value whose cumulative share
     first reaches the probability. Nulls and NaNs are left out."""
-    kind = df.schema[value].dataType
-    narrow = isinstance(kind, (T.FloatType, T.ByteType, T.ShortType, T.BooleanType))
     counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
               .select(*keys, F.col(value).cast("double").alias("_v"))
               .groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
@@ -55,17 +52,6 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         t["name"].alias("name"), t["side"].alias("side"), (t["k"] - F.col("_before")).alias("k"), t["frac"].alias("frac")))).drop("_before")
     kept = counts.join(hit, [*keys, "_b"])
     group = [*keys, "_b"]
-    if not narrow:
-        kept = kept.withColumn("_f", F.col("_v").cast("float"))
-        totals = kept.groupBy(*group, "_f").agg(F.sum("_n").alias("_n"), F.first("_t").alias("_t"))
-        ahead = Window.partitionBy(*group).orderBy("_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        totals = totals.withColumn("_cum", F.sum("_n").over(ahead))
-        hit = totals.select(*group, "_f", F.filter("_t", lambda t: (t["k"] >= F.col("_cum") - F.col("_n")) & (t["k"] < F.col("_cum"))).alias("_t"),
-                            (F.col("_cum") - F.col("_n")).alias("_before"))
-        hit = hit.where(F.size("_t") > 0).withColumn("_t", F.transform("_t", lambda t: F.struct(
-            t["name"].alias("name"), t["side"].alias("side"), (t["k"] - F.col("_before")).alias("k"), t["frac"].alias("frac")))).drop("_before")
-        kept = kept.drop("_t").join(hit, [*group, "_f"])
-        group = [*group, "_f"]
     ahead = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = kept.withColumn("_cum", F.sum("_n").over(ahead))
     found = kept.select(*keys, "_v", F.explode(F.filter("_t", lambda t: (t["k"] >= F.col("_cum") - F.col("_n")) & (t["k"] < F.col("_cum")))).alias("t"))

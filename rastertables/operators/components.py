@@ -78,8 +78,10 @@ def label_components(runs: DataFrame, extents: DataFrame, connectivity: int = 8,
 
     group = [*keys, "_tz", "_ty", "_tx"]
     pieces = materialize(pieces.groupBy(*group).applyInPandas(label, schema))
-    edges = _border_edges(pieces, keys, block, depth, solid, reach)
-    roots = contract(edges, keys)
+    blocks = pieces.agg(F.max(F.greatest("_tx", "_ty", "_tz")) > 0).first()[0]
+    roots = contract(_border_edges(pieces, keys, block, depth, solid, reach), keys) if blocks else None
+    if not blocks:
+        return pieces.select(*cols, "comp")
     if roots is not None:
         pieces = (pieces.join(roots, [*keys, "comp"], "left")
                   .withColumn("comp", F.coalesce(F.col("root"), F.col("comp"))).drop("root"))
@@ -95,8 +97,7 @@ def _border_edges(pieces: DataFrame, keys: list[str], block: int, depth: int, so
     p = pieces.select(*keys, *z, "y", "x0", "x1", "comp", "_tx")
     right = p.where(F.col("x1") == (F.col("_tx") + 1) * block)
     left = p.where(F.col("x0") == F.col("_tx") * block).select(*keys, *z, F.col("y").alias("_y"), F.col("_tx"), F.col("comp").alias("b"))
-    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    sideways = (right.select(*keys, *z, (F.col("y") + steps).alias("_y"), (F.col("_tx") + 1).alias("_tx"), F.col("comp").alias("a"))
+    sideways = (right.select(*keys, *z, F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)).alias("_y"), (F.col("_tx") + 1).alias("_tx"), F.col("comp").alias("a"))
                 .join(left, [*keys, *z, "_y", "_tx"]).select(*keys, "a", "b"))
     overlap = (F.col("x0") < F.col("_x1") + reach) & (F.col("_x0") < F.col("x1") + reach)
     low = p.where(F.col("y") % block == block - 1)

@@ -107,6 +107,12 @@ def closure(src, conn, name="lab", solid=False):
 {name} AS (SELECT p.volume_id, p.z, p.y, p.x, r.comp FROM {name}_px p JOIN {name}_root r ON r.volume_id = p.volume_id AND r.i = p.i {'' if solid else 'AND r.z = p.z'})"""
 
 
+def flood(src, name="outside"):
+    """Background pixels that reach the image border through edge neighbours."""
+    return f"""{name} AS (SELECT volume_id, z, y, x FROM {src} WHERE y IN (0, 39) OR x IN (0, 47) UNION
+ SELECT n.volume_id, n.z, n.y, n.x FROM {name} p JOIN {src} n ON n.volume_id = p.volume_id AND n.z = p.z AND abs(n.y - p.y) + abs(n.x - p.x) = 1)"""
+
+
 def _labels(name, conn):
     @query(name, L.with_views("pred", extra=closure("pred", conn), recursive=True) + """
 SELECT volume_id, z, y, x, CAST(dense_rank() OVER (PARTITION BY volume_id, z ORDER BY comp) AS BIGINT) AS label FROM lab""")
@@ -120,14 +126,18 @@ _labels("c1_label_4_connected", 4)
 _labels("c1_label_8_connected", 8)
 
 
-@query("c2_label_3d", L.with_views("pred", extra=closure("pred", 6, solid=True), recursive=True) + """
+@query("c2_label_3d", L.with_views("lattice", extra="bright AS (SELECT volume_id, z, y, x FROM lattice WHERE q >= 50), " + closure("bright", 6, solid=True), recursive=True) + """
 SELECT volume_id, z, y, x, CAST(dense_rank() OVER (PARTITION BY volume_id ORDER BY comp) AS BIGINT) AS label FROM lab""")
 def c2(spark, sf):
     ext = L.volumes(spark, sf)
-    lab = C.label_components(masks(spark, sf)[0], ext, 6, ["volume_id"])
+    lab = C.label_components(bright(spark, sf), ext, 6, ["volume_id"])
     return R.decode_runs(C.number_components(lab, ext, ["volume_id"])).select(*PX, "label")
 
 
+def bright(spark, sf):
+    return R.encode_runs(L.lattice(spark, sf).where("q >= 50").select(*PX))
+
+
 @query("c3_remove_small", L.with_views("pred", extra=closure("pred", 8), recursive=True) + """
 SELECT volume_id, z, y, x FROM (SELECT *, count(*) OVER (PARTITION BY volume_id, z, comp) AS n FROM lab) WHERE n >= 4""")
 def c3(spark, sf):
@@ -136,10 +146,8 @@ def c3(spark, sf):
 
 BACK = """cover AS (SELECT volume_id, z, y, x FROM dense WHERE q > 0 OR (x + y) % 3 > 0),
 bg AS (SELECT volume_id, z, y, x FROM dense EXCEPT SELECT * FROM cover)"""
-HOLES = BACK + ", " + closure("bg", 8, "e") + ", " + closure("bg", 4, "f") + """,
-outside AS (SELECT DISTINCT volume_id, z, comp FROM f WHERE y IN (0, 39) OR x IN (0, 47)),
-filled AS (SELECT * FROM cover UNION (SELECT volume_id, z, y, x FROM (SELECT *, count(*) OVER (PARTITION BY volume_id, z, comp) AS n FROM e) WHERE n < 5
- EXCEPT SELECT f.volume_id, f.z, f.y, f.x FROM f JOIN outside USING (volume_id, z, comp)))"""
+HOLES = BACK + ", " + closure("bg", 8, "e") + ", " + flood("bg") + """,
+filled AS (SELECT * FROM cover UNION (SELECT volume_id, z, y, x FROM (SELECT *, count(*) OVER (PARTITION BY volume_id, z, comp) AS n FROM e) WHERE n < 5 EXCEPT SELECT * FROM outside))"""
 
 
 @query("c4_fill_small_holes", L.with_views("dense", extra=HOLES, recursive=True) + "SELECT volume_id, z, y, x FROM filled")
@@ -147,9 +155,7 @@ def c4(spark, sf):
     return pixels(C.fill_small_holes(cover(spark, sf), L.slices(spark, sf), 5))
 
 
-ALL_HOLES = BACK + ", " + closure("bg", 4, "f") + """,
-outside AS (SELECT DISTINCT volume_id, z, comp FROM f WHERE y IN (0, 39) OR x IN (0, 47)),
-filled AS (SELECT * FROM cover UNION (SELECT volume_id, z, y, x FROM f ANTI JOIN outside USING (volume_id, z, comp)))"""
+ALL_HOLES = BACK + ", " + flood("bg") + ", filled AS (SELECT * FROM cover UNION (SELECT * FROM bg EXCEPT SELECT * FROM outside))"
 
 
 @query("c5_fill_all_holes", L.with_views("dense", extra=ALL_HOLES, recursive=True) + "SELECT volume_id, z, y, x FROM filled")
@@ -162,9 +168,8 @@ def c6(spark, sf):
     return pixels(C.clean_up(cover(spark, sf), L.slices(spark, sf), (0.5, 0.5), 1, 2.0, 3.0))
 
 
-INST = ("bg AS (SELECT volume_id, z, y, x FROM dense WHERE q < 30), " + closure("bg", 4, "f") + """,
-outside AS (SELECT DISTINCT volume_id, z, comp FROM f WHERE y IN (0, 39) OR x IN (0, 47)),
-filled AS (SELECT * FROM pred UNION (SELECT volume_id, z, y, x FROM f ANTI JOIN outside USING (volume_id, z, comp))), """ + closure("filled", 4, "g"))
+INST = ("bg AS (SELECT volume_id, z, y, x FROM dense WHERE q < 30), " + flood("bg") + """,
+filled AS (SELECT * FROM pred UNION (SELECT * FROM bg EXCEPT SELECT * FROM outside)), """ + closure("filled", 4, "g"))
 
 
 @query("c7_instances", L.with_views("dense", "pred", extra=INST, recursive=True) + """

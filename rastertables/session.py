@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back, so that loops keep a short lineage and a lost
-    executor costs a re-read instead of a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table to the shared checkpoint folder and read it back: loops keep a short lineage, a lost executor
+    costs a re-read instead of a recomputation, and later steps read only the columns they need. Unlike an RDD
+    checkpoint, the rows are computed once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
