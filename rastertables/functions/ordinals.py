@@ -13,9 +13,9 @@ def banded_ordinal(df: DataFrame, keys: list[str], band: Column, order: list, ou
     w = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = totals.select(*keys, "_band", (F.sum("_n").over(w) - F.col("_n")).alias("_start"))
     inside = Window.partitionBy(*keys, "_band").orderBy(*order)
-    numbered = rows.withColumn("_i", F.row_number().over(inside) - 1)
+    numbered = rows.withColumn("_in_band", F.row_number().over(inside) - 1)
     return (numbered.join(starts, [*keys, "_band"])
-            .withColumn(out, (F.col("_start") + F.col("_i")).cast("long")).drop("_band", "_start", "_i"))
+            .withColumn(out, (F.col("_start") + F.col("_in_band")).cast("long")).drop("_band", "_start", "_in_band"))
 
 
 def hashed_ordinal(df: DataFrame, keys: list[str], identity: list[str], out: str, bands: int = 4096) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.quantiles import group_quantiles
 from ..session import SLICE, materialize
@@ -94,7 +95,7 @@ def _hull_area(rows: list) -> float:
     return float((np.floor(b + 1e-9) - np.ceil(a - 1e-9) + 1).sum())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def convex_area(rows: pd.Series) -> pd.Series:
     return rows.map(_hull_area)
 

@@ -1,5 +1,5 @@
 """All registered queries in one place."""
-from . import grid_queries, mask_queries, score_queries  # noqa: F401
+from . import catalog_queries, grid_queries, mask_queries, measure_queries, score_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -15,7 +15,7 @@ def r6(c, name):
 
 
 def s6(e, name):
-    return f"round({e}, 6) + 0.0 AS {name}"
+    return f"round(CAST(({e}) AS DOUBLE), 6) + 0.0 AS {name}"
 
 
 @query("p1_percentile_rescale", L.with_views("dense") + f"""
