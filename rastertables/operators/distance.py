@@ -86,8 +86,8 @@ def _side(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
 def hd95(pred: DataFrame, ref: DataFrame, extents: DataFrame, spacing=(1.0, 1.0), keys: list[str] = SLICE) -> DataFrame:
     """95th percentile of the distances from each boundary to the other mask, both directions pooled. Null when a mask
     is empty."""
-    d = distance_to_mask(R.boundary(pred, keys), ref, extents, spacing, keys).unionByName(
-        distance_to_mask(R.boundary(ref, keys), pred, extents, spacing, keys))
+    d = materialize(distance_to_mask(R.boundary(pred, keys), ref, extents, spacing, keys).unionByName(
+        distance_to_mask(R.boundary(ref, keys), pred, extents, spacing, keys)))
     q = group_quantiles(d, keys, "dist", {"hd95": 0.95})
     both = _side(pred, "_p", keys).join(_side(ref, "_r", keys), keys).select(*keys)
     return extents.select(*keys).distinct().join(both.join(q, keys), keys, "left")
@@ -95,7 +95,7 @@ def hd95(pred: DataFrame, ref: DataFrame, extents: DataFrame, spacing=(1.0, 1.0)
 
 def surface_dice(pred: DataFrame, ref: DataFrame, extents: DataFrame, tolerance: float, spacing=(1.0, 1.0), keys: list[str] = SLICE) -> DataFrame:
     """Share of both boundaries within the tolerance of the other boundary; 1 when both masks are empty, 0 when one is."""
-    bp, br = R.boundary(pred, keys), R.boundary(ref, keys)
+    bp, br = materialize(R.boundary(pred, keys)), materialize(R.boundary(ref, keys))
     near = lambda a, b: distance_to_mask(a, b, extents, spacing, keys).where(F.col("dist") <= tolerance).groupBy(*keys).agg(F.count("*").alias("n"))
     hits = near(bp, br).unionByName(near(br, bp)).groupBy(*keys).agg(F.sum("n").alias("_n"))
     out = (extents.select(*keys).distinct().join(_side(bp, "_p", keys), keys, "left").join(_side(br, "_r", keys), keys, "left")

@@ -6,6 +6,7 @@ from ..operators import measure as M
 from ..operators import runs as R
 from ..operators import select as P
 from ..operators import stats as T
+from ..session import materialize
 from ..sources import lattice as L
 from .grid_queries import PX, r6, s6
 from .mask_queries import bright, closure, masks
@@ -80,7 +81,7 @@ mc AS (SELECT s.volume_id, s.z, (SELECT count(*) FROM iou i WHERE i.volume_id =
 def labelled(spark, sf, cond):
     ext = L.slices(spark, sf)
     runs = R.encode_runs(L.lattice(spark, sf).where(cond).select(*PX))
-    return R.decode_runs(C.number_components(C.label_components(runs, ext, 8), ext)).select(*PX, "label")
+    return materialize(R.decode_runs(C.number_components(C.label_components(runs, ext, 8), ext)).select(*PX, "label"))
 
 
 def pair(spark, sf):

@@ -7,6 +7,7 @@ from ..operators import distance as D
 from ..operators import grid as G
 from ..operators import runs as R
 from ..operators import scoring as S
+from ..session import materialize
 from ..sources import lattice as L
 from .grid_queries import PX, r6, s6, upsample_sql
 from .mask_queries import closure, masks
@@ -101,7 +102,7 @@ UP = PROTO + ROBUST + ", cells AS (SELECT * FROM std)" + upsample_sql("", 10, 10
 
 def raw_map(spark, sf):
     means = S.mean_prototypes(protos(spark, sf), ["volume_id"])
-    return S.score_map(L.patch_vectors(spark, sf), means, ["volume_id"], (10, 10), (SIDE, SIDE), 0.8)
+    return materialize(S.score_map(L.patch_vectors(spark, sf), means, ["volume_id"], (10, 10), (SIDE, SIDE), 0.8))
 
 
 AT = UP + """, sampled AS (SELECT p.volume_id, p.z, p.polarity, p.ord, u.v FROM pts p JOIN up u ON u.volume_id = p.volume_id AND u.z = p.z
