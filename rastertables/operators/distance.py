@@ -43,22 +43,15 @@ def distance_to_mask(queries: DataFrame, target: DataFrame, extents: DataFrame,
         rows = int(pdf["height"].iloc[0])
         ask = pdf[pdf["kind"] == 2]
         seg = pdf[pdf["kind"] < 2]
-        if ask.empty or seg.empty:
-            return pd.DataFrame({f.name: [] for f in out_schema.fields})
         best = np.full((rows, STRIP), np.inf)
-        for y, a, b, left, right, kind in seg[["y", "a", "b", "left", "right", "kind"]].itertuples(index=False, name=None):
-            x = np.arange(max(int(a), base), min(int(b), base + STRIP))
-            if kind == 0:
-                best[int(y), x - base] = 0.0
-                continue
-            d = np.full(len(x), np.inf)
-            if left == left and left is not None:
-                d = np.minimum(d, x - left)
-            if right == right and right is not None:
-                d = np.minimum(d, right - x)
-            best[int(y), x - base] = (d * sx) ** 2
+        a, b = np.maximum(seg["a"].to_numpy(int), base), np.minimum(seg["b"].to_numpy(int), base + STRIP)
+        n = b - a
+        x = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left, right = (np.repeat(seg[c].to_numpy(float), n) for c in ("left", "right"))
+        gap = np.where(np.repeat(seg["kind"].to_numpy(int), n) == 0, 0.0, np.fmin(x - left, right - x))
+        best[np.repeat(seg["y"].to_numpy(int), n), x - base] = (gap * sx) ** 2
         flat, dy = best.copy(), 1
-        while dy < rows and (dy * sy) ** 2 < best.max():
+        while len(seg) and len(ask) and dy < rows and (dy * sy) ** 2 < best.max():
             np.minimum(best[dy:], flat[:-dy] + (dy * sy) ** 2, out=best[dy:])
             np.minimum(best[:-dy], flat[dy:] + (dy * sy) ** 2, out=best[:-dy])
             dy += 1
@@ -67,7 +60,8 @@ def distance_to_mask(queries: DataFrame, target: DataFrame, extents: DataFrame,
         n = b - a
         x = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         yy = np.repeat(y, n)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "y": yy, "x": x, "dist": np.sqrt(best[yy, x - base])})
+        names = {k: np.full(len(x), pdf[k].iloc[0], dtype=object if isinstance(pdf[k].iloc[0], str) else None) for k in keys}
+        return pd.DataFrame({**names, "y": yy, "x": x, "dist": np.sqrt(best[yy, x - base])})
 
     # Empty strips of a slice whose target lies elsewhere still have gap segments, so only slices without target drop out
     return parts.groupBy(*keys, "_strip").applyInPandas(solve, out_schema).where(F.col("dist") < float("inf"))
