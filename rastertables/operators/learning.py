@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordinals import uniform
+from ..functions.ordinals import banded_ordinal, uniform
 from ..session import SLICE, materialize
 
 THRESHOLDS = [round(0.2 + 0.05 * i, 2) for i in range(15)]   # 0.2 .. 0.9
@@ -71,12 +71,13 @@ def most_probable(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def folds(slices: DataFrame, max_folds: int = 5) -> DataFrame:
-    """Leave-one-out up to six labelled slices, interleaved folds beyond. Labelled slices are few; they are numbered in
-    one window over their ids."""
-    ids = slices.select(*SLICE).distinct()
-    n = ids.count()
-    i = F.row_number().over(Window.orderBy(*SLICE)) - 1
-    return ids.withColumn("fold", i if n <= 6 else i % max_folds)
+    """Leave-one-out up to six labelled slices, interleaved folds beyond. Slices are numbered inside their volume; only
+    the totals per volume are accumulated over the whole table."""
+    ids = slices.select(*SLICE).distinct().withColumn("_all", F.lit(0))
+    i = banded_ordinal(ids, ["_all"], F.col("volume_id"), ["z"], "_i")
+    n = ids.groupBy("_all").agg(F.count("*").alias("_n"))
+    fold = F.when(F.col("_n") <= 6, F.col("_i")).otherwise(F.col("_i") % max_folds).cast("int")
+    return i.join(n, "_all").select(*SLICE, fold.alias("fold"))
 
 
 def mean_dice(held: DataFrame, cut: float = 0.5, by: list[str] | None = None) -> DataFrame:

@@ -428,11 +428,13 @@ def q1_p(spark, sf):
     return T.rank_tests(scored(spark, sf), ["lang"], "quality", "value")
 
 
-@query("q1_kruskal_statistic", f"""WITH r AS (SELECT quality, source, rank() OVER (PARTITION BY quality ORDER BY n_chars) + (count(*) OVER (PARTITION BY quality, n_chars) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY quality, n_chars) AS t, count(*) OVER (PARTITION BY quality) AS n FROM documents JOIN labels USING (doc_id)),
- g AS (SELECT quality, source, sum(rk) ** 2 / count(*) AS rr FROM r GROUP BY 1, 2), k AS (SELECT quality, any_value(n) AS n, sum(t * t - 1) AS ties FROM r GROUP BY 1)
- SELECT quality, count(*) AS n_groups, round((12.0 / (any_value(n) * (any_value(n) + 1.0)) * sum(rr) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (any_value(n)::DOUBLE ** 3 - any_value(n))), 5) + 0.0 AS statistic FROM g JOIN k USING (quality) GROUP BY 1""")
+@query("q1_kruskal_statistic", """WITH r AS (SELECT quality, lang, rank() OVER (PARTITION BY quality ORDER BY n_chars) + (count(*) OVER (PARTITION BY quality, n_chars) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY quality, n_chars) AS t, count(*) OVER (PARTITION BY quality) AS n FROM documents JOIN labels USING (doc_id)),
+ g AS (SELECT quality, lang, sum(rk) AS s, count(*) AS m, sum(rk) ** 2 / count(*) AS rr FROM r GROUP BY 1, 2), k AS (SELECT quality, any_value(n) AS n, sum(t * t - 1) AS ties FROM r GROUP BY 1)
+ SELECT quality, count(*) AS n_groups, round(CAST(CASE WHEN count(*) < 2 OR min(m) < 2 THEN NULL WHEN count(*) = 2 THEN arg_min(s, lang) - arg_min(m, lang) * (arg_min(m, lang) + 1) / 2
+  ELSE (12.0 / (any_value(n) * (any_value(n) + 1.0)) * sum(rr) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (any_value(n)::DOUBLE ** 3 - any_value(n))) END AS DOUBLE), 5) + 0.0 AS statistic FROM g JOIN k USING (quality) GROUP BY 1""")
 def q1_kruskal(spark, sf):
-    return T.rank_tests(scored(spark, sf), ["quality"], "source", "value").select("quality", "n_groups", F.round("statistic", 5).alias("statistic"))
+    """The same test with four groups; a group of one, or fewer than two groups, gives no statistic."""
+    return T.rank_tests(scored(spark, sf), ["quality"], "lang", "value").select("quality", "n_groups", F.round("statistic", 5).alias("statistic"))
 
 
 # ---------- picks and orders ----------

@@ -52,9 +52,10 @@ def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """8-bit PNG and JPEG files as pixel rows: grey is one channel, colour is red, green, blue, alpha is dropped. Depths
     above 8 bits are turned away from the PNG header, since the image reader would keep only their low byte."""
     heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
-    deep = heads.where(F.conv(F.hex(F.substring("content", 25, 1)), 16, 10).cast("int") > 8).select("path")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")   # The two readers spell local paths differently
+    deep = heads.where(F.conv(F.hex(F.substring("content", 25, 1)), 16, 10).cast("int") > 8).select(same("path").alias("path"))
     img = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(path).select("image.*")
-    img = img.withColumnRenamed("origin", "path").join(deep, "path", "left_anti")
+    img = img.withColumn("path", same("origin")).join(deep, "path", "left_anti")
 
     def rows(batches):
         for pdf in batches:

@@ -1,4 +1,5 @@
 import itertools
+import os
 import struct
 import zlib
 
@@ -161,6 +162,8 @@ def test_late_status_events_are_dropped(spark, tmp_path):
     schema = "job string, status string, ts timestamp"
     for i, (job, when) in enumerate((("a", 0), ("b", 7200), ("c", 10), ("d", 7230), ("e", 20000))):
         spark.createDataFrame([(job, "done", when)], "job string, status string, t long").selectExpr("job", "status", "timestamp_seconds(t) ts").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+        for f in (tmp_path / f"in/{i}").iterdir():
+            os.utime(f, (1_000_000 + 60 * i, 1_000_000 + 60 * i))   # Files are picked up in the order of their times
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(*[str(tmp_path / "in" / "*")])
     q = J.throughput(src).writeStream.outputMode("append").format("memory").queryName("done_per_minute").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
