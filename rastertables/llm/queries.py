@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, counts, decontaminate, quality, shards, tokens
+from . import bpe, counts, decontaminate, jaccard, quality, shards, tokens
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable] = {}
@@ -85,6 +85,11 @@ def op4(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op5_multi_match_jaccard")
+def op5(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 @query("op9_map_side_token_counts")
 def op9(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
