@@ -21,7 +21,9 @@ from .components import components, local_roots
 
 WORDS, PERCENT = 4, 85
 SKETCH_BITS, CHUNK_BITS, SLICE_BYTES = 20, 14, 1 << 20
-MOST_MATCHES, VERIFY_COST = 6, 8
+MOST_MATCHES, VERIFY_COST = 8, 8
+#: Other documents expected under a shingle whose cell is not above the mean: the sketch cannot tell one from a few.
+UNSEEN = 0.5
 LIGHT, BLOCK, HOT_COUNT, SALTS, BROADCAST_ROWS = 24, 256, 100_000, 64, 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -146,7 +148,7 @@ def least_overlap(n, percent: int = PERCENT):
 
 def prefix(u: np.ndarray, classes: np.ndarray, over: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, np.ndarray]:
     """Prefix shingles, rare first, the number of matches they stand for, and their estimated counts. classes and over are
-    the sketch's rarity class and count above the mean load, by cell."""
+    the sketch's rarity class and the expected number of other documents, by cell."""
     n = len(u)
     cell = (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
     rank = classes[cell].astype(np.uint64) << np.uint64(56) | (u & np.uint64((1 << 56) - 1))
@@ -172,7 +174,7 @@ def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: in
 
     def run(batches):
         classes, mean = shared.value
-        over = np.maximum(0, np.exp2(classes / 4.0) - 1 - mean)
+        over = np.maximum(UNSEEN, np.exp2(classes / 4.0) - 1 - mean)
         seen: set[int] = set()
         for b in batches:
             tokens, size, need, names, spread = [], [], [], [], []
