@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, counts, decontaminate, jaccard, quality, shards, tokens
+from . import bpe, chat, counts, decontaminate, html, jaccard, quality, shards, tokens, warc
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable] = {}
@@ -90,6 +90,27 @@ def op5(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+@query("op6_tree_model_html")
+def op6(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
+@query("op7_reply_tree_chat")
+def op7(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_trees(chat.replies(rows.unionAll(more))))
+
+
+@query("op8_warc_segments")
+def op8(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.assemble(warc.read_records(spark, path)).drop("payload")
+
+
 @query("op9_map_side_token_counts")
 def op9(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
