@@ -131,7 +131,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for h, block in parse(zlib.decompressobj(47).decompress(content.as_py())):
                     refers = h.get("WARC-Refers-To")
-                    rows.append((number(h["WARC-Page-ID"]), h["WARC-Type"], h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")),
+                    rows.append((number(h.get("WARC-Page-ID")), h["WARC-Type"], h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")),
                                  number(refers[1:-1].rpartition(":")[2]) if refers else None, h.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, block))
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
