@@ -5,6 +5,7 @@ an independent block of whole documents with the number of ids before it, the do
 and the bit offset of every STEP-th id (checkpoints), from which all stretches are decoded side by side by table."""
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,35 +16,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .counts import library
-from .pretokens import WHITE, Remembered
+from .pretokens import WHITE
 
 LONGEST, STEP, BLOCK_IDS = 18, 128, 1 << 18
-_SEPARATORS = str.maketrans({c: "x" for c in "\x1c\x1d\x1e\x1f"})
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SEPARATORS = "\x1c\x1d\x1e\x1f"   # White space for str.split, not for the tokenizer
+KEPT_WORDS, KEPT_CHARS, CALL_WORDS, RUN_CHARS = 700_000, 32, 4_096, 2_000_000
 
 
 class WordIds:
-    """Ids of a text by the tokenizer library, word by word: its split drops white space and no rule looks across it."""
+    """Ids of texts by the tokenizer library, word by word: its split drops white space and no rule looks across it.
+
+    The words that a run of texts brings anew go to the library together. Up to KEPT_WORDS words of at most KEPT_CHARS
+    characters (some 100 MB) are remembered for later runs."""
 
     def __init__(self, path: str, end: int | None):
         import re
         self.tok = library(path)
         self.words = re.compile(f"[^{WHITE}]+")
-        self.memory = Remembered(self.encode)
+        self.memory: dict[str, bytes] = {}
         self.end = b"" if end is None else np.array([end], "<u2").tobytes()
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("Ids are held in 16 bits")
 
-    def encode(self, word: str) -> bytes:
-        core = word[:-1]
-        if word[-1:] in ".,;:!?" and core.isalpha():   # A word and a mark are two pieces
-            return self.memory[core] + self.memory[word[-1]]
-        if word.isascii() and word.isalpha() and not word.islower():
-            return self.memory[word.lower()]
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def text(self, text: str) -> bytes:
-        words = text.split() if text.translate(_SEPARATORS) == text else self.words.findall(text)
-        return b"".join(map(self.memory.__getitem__, words)) + self.end
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+        flat = np.array(found.ids, "<u2").tobytes()
+        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))).tolist()
+        return [flat[2 * a:2 * b] for a, b in zip([0, *ends], ends)]
+
+    @staticmethod
+    def cut(word: str) -> tuple[str, str]:
+        """Letters and the marks behind them, which are two pieces; else the whole word. Letters must stay letters when
+        normalised, or a mark comes to stand at their end and joins the marks behind."""
+        core = word.rstrip(MARKS)
+        if core.isascii() and core.isalpha():
+            return core.lower(), word[len(core):]
+        if core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():
+            return core, word[len(core):]
+        return word, ""
+
+    def learn(self, words: set[str]) -> None:
+        cuts = [(w, *self.cut(w)) for w in words]
+        pieces = list({x for _, core, marks in cuts for x in (core, marks) if x} - self.memory.keys())
+        for s in range(0, len(pieces), CALL_WORDS):
+            part = pieces[s:s + CALL_WORDS]
+            self.memory.update(zip(part, self.encode(part)))
+        for word, core, marks in cuts:
+            self.memory[word] = self.memory[core] + self.memory[marks] if marks else self.memory[core]
+
+    def split(self, text: str) -> list[str]:
+        return self.words.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        out, run, chars = [], [], 0
+        for k, text in enumerate(texts, 1):
+            run.append(self.split(text))
+            chars += len(text)
+            if chars > RUN_CHARS or k == len(texts):
+                new = set().union(*run) - self.memory.keys()
+                self.learn(new)
+                out += [b"".join(map(self.memory.__getitem__, words)) + self.end for words in run]
+                for word in new:
+                    if len(word) > KEPT_CHARS:
+                        del self.memory[word]
+                while len(self.memory) > KEPT_WORDS:   # The words met first are the frequent ones
+                    self.memory.popitem()
+                run, chars = [], 0
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -56,7 +96,7 @@ def encode_words(docs: DataFrame, path: str, end: int | None = 2, key: str = "do
     def run(batches):
         w = word_ids(path, end)
         for b in batches:
-            out = [w.text(t.as_py() or "") for t in b.column(1)]
+            out = w.texts([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids binary")
@@ -67,8 +107,7 @@ def id_counts(rows: DataFrame, ids: str = "ids") -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u2"), minlength=1 << 16)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 

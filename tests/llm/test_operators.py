@@ -228,3 +228,16 @@ def test_pipeline(spark, docs, texts, tmp_path):
     want = {i for i in first if ITEM not in (texts[i] or "") and "item4 x item6" not in (texts[i] or "")}
     got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and 14 in first and 14 not in want
+
+
+def test_word_ids_equal_the_library(monkeypatch):
+    """Whole texts by the library against word by word, with marks that normalising moves, and with a full memory."""
+    path = P.path("word_bpe_49k.json")
+    texts = ["İ. İ&& a̸< x≮ क़!! don't' it's... <|endoftext|>! a<|endoftext|>b יִ, Å., 12,3!", "a\x1cb c\x1f\x1f!", "", "　x\x85y, .", "x" * 100 + "!", "ΑΣ, ΑΣ Σ. é, é, ́ ﬁ! ǅ,", "Word, word WORD. " * 50]
+    for kept in (700_000, 5):
+        monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
+        words = tokens.WordIds(path, 2)
+        for _ in range(2):
+            for text, ids in zip(texts, words.texts(texts)):
+                assert np.frombuffer(ids, "<u2").tolist() == words.tok.encode(text, add_special_tokens=False).ids + [2]
+            assert len(words.memory) <= kept
