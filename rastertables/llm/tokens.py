@@ -21,14 +21,14 @@ from .pretokens import WHITE
 LONGEST, STEP, BLOCK_IDS = 18, 128, 1 << 18
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATORS = "\x1c\x1d\x1e\x1f"   # White space for str.split, not for the tokenizer
-KEPT_WORDS, KEPT_CHARS, CALL_WORDS, RUN_CHARS = 700_000, 32, 4_096, 2_000_000
+KEPT_WORDS, KEPT_CHARS, CALL_WORDS, RUN_CHARS = 300_000, 32, 4_096, 1_000_000
 
 
 class WordIds:
     """Ids of texts by the tokenizer library, word by word: its split drops white space and no rule looks across it.
 
     The words that a run of texts brings anew go to the library together. Up to KEPT_WORDS words of at most KEPT_CHARS
-    characters (some 100 MB) are remembered for later runs."""
+    characters (some 50 MB) are remembered for later runs."""
 
     def __init__(self, path: str, end: int | None):
         import re
