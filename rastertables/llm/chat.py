@@ -66,22 +66,24 @@ def paths(nodes: DataFrame, key: str, branches: int | None) -> DataFrame:
     state = nodes.select("_tree", "node", "parent", "score").join(known, ["_tree", "parent"], "left_semi")
     roots = nodes.select("_tree", "node", "parent", "score").join(known, ["_tree", "parent"], "left_anti").withColumn("parent", F.lit(None).cast("long"))
     state = materialize(state.select(*roots.columns).unionAll(roots).select("_tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")))
-    jumps = [state]
+    nodes_up, jumps = state.where("up IS NOT NULL").select("_tree", F.col("up").alias("node")), []
     while state.where("up IS NOT NULL").limit(1).count():
+        far = state.where("up IS NOT NULL")   # Paths that have reached their root take no further part
+        jumps.append(far)
         above = state.select("_tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("length").alias("_length"))
-        joined = state.join(above, ["_tree", "up"], "left")
-        state = materialize(joined.select("_tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length")))
-        jumps.append(state)
+        joined = far.join(above, ["_tree", "up"], "left")
+        joined = joined.select("_tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length"))
+        state = materialize(joined.unionAll(state.where("up IS NULL")))
         if len(jumps) > 62:
             raise ValueError("The replies form a cycle")
-    leaves = state.join(jumps[0].where("up IS NOT NULL").select("_tree", F.col("up").alias("node")), ["_tree", "node"], "left_anti")
+    leaves = state.join(nodes_up, ["_tree", "node"], "left_anti")
     rank = Window.partitionBy("_tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(rank))
     if branches is not None:
         chosen = chosen.where(F.col("branch") <= branches)
     found = chosen.select("_tree", "branch", "node", (F.col("length") - 1).alias("at"))
-    for k, jump in enumerate(jumps[:-1]):
-        step = jump.where("up IS NOT NULL").select("_tree", "node", "up")
+    for k, jump in enumerate(jumps):
+        step = jump.select("_tree", "node", "up")
         further = found.join(step, ["_tree", "node"]).select("_tree", "branch", F.col("up").alias("node"), (F.col("at") - (1 << k)).alias("at"))
         found = materialize(found.unionAll(further))
     return found
