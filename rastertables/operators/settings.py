@@ -20,10 +20,9 @@ def split_channel(spec: Column, default: int | None = None) -> tuple[Column, Col
 
 
 def channel_choice(requested: Column, default: Column, colour: Column, n_channels: Column) -> Column:
-    """Requested channel when it exists, else the default, else the colour channel, else the only one."""
-    last = n_channels + colour.isNotNull().cast("int")
-    valid = lambda c: F.when((c >= 0) & (c < last), c)
-    return F.coalesce(valid(requested), valid(default), colour, F.when(n_channels == 1, F.lit(0)))
+    """The first that is given of requested, default and colour channel, else the only one; null if the volume lacks it."""
+    chosen = F.coalesce(requested, default, colour, F.when(n_channels == 1, F.lit(0)))
+    return F.when((chosen >= 0) & (chosen < n_channels + colour.isNotNull().cast("int")), chosen)
 
 
 def coerce_settings(raw: Column) -> tuple[Column, Column]:

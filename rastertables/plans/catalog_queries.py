@@ -34,7 +34,8 @@ def volume_table(spark, sf):
 
 
 VT = "vt AS (SELECT c_custkey AS volume_id, c_nationkey % 4 + 1 AS n_channels, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS dflt, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey % 4 + 1 END AS rgb, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 6 AS INTEGER) END AS req, c_nationkey + 1 AS n_z FROM customer)"
-PICK = "coalesce(CASE WHEN req >= 0 AND req < n_channels + (rgb IS NOT NULL)::INTEGER THEN req END, CASE WHEN dflt < n_channels + (rgb IS NOT NULL)::INTEGER THEN dflt END, rgb, CASE WHEN n_channels = 1 THEN 0 END)"
+GIVEN = "coalesce(req, dflt, rgb, CASE WHEN n_channels = 1 THEN 0 END)"
+PICK = f"(CASE WHEN {GIVEN} BETWEEN 0 AND n_channels + (rgb IS NOT NULL)::INTEGER - 1 THEN {GIVEN} END)"
 
 
 @query("p8_channel_fallback", f"WITH {VT} SELECT volume_id, CAST({PICK} AS INTEGER) AS channel FROM vt")
@@ -42,7 +43,7 @@ def p8(spark, sf):
     return a29(spark, sf).select("volume_id", "channel")
 
 
-@query("a29_batch_over_catalogue", f"WITH {VT} SELECT volume_id, CAST({PICK} AS INTEGER) AS channel, CASE WHEN {PICK} IS NULL THEN 'skipped: no channel chosen' ELSE 'queued' END AS status FROM vt")
+@query("a29_batch_over_catalogue", f"WITH {VT} SELECT volume_id, CAST({PICK} AS INTEGER) AS channel, CASE WHEN {PICK} IS NULL AND req IS NOT NULL THEN 'skipped: no channel ' || req WHEN {PICK} IS NULL THEN 'skipped: no channel chosen' ELSE 'queued' END AS status FROM vt")
 def a29(spark, sf):
     v = volume_table(spark, sf)
     return K.batch_plan(v, v.where("volume_id % 2 = 0").select("volume_id", (F.col("volume_id") % 6).cast("int").alias("channel")))

@@ -100,7 +100,8 @@ def batch_plan(volumes: DataFrame, requests: DataFrame) -> DataFrame:
     """Channel of every volume of a batch; volumes without a usable channel are skipped with a reason."""
     j = volumes.join(requests.select("volume_id", F.col("channel").alias("requested")), "volume_id", "left")
     j = j.withColumn("channel", channel_choice(F.col("requested"), F.col("default_channel"), F.col("rgb_channel"), F.col("n_channels")))
-    return j.withColumn("status", F.when(F.col("channel").isNull(), "skipped: no channel chosen").otherwise("queued")).select("volume_id", "channel", "status")
+    reason = F.when(F.col("requested").isNull(), "skipped: no channel chosen").otherwise(F.concat(F.lit("skipped: no channel "), F.col("requested")))
+    return j.withColumn("status", F.when(F.col("channel").isNull(), reason).otherwise("queued")).select("volume_id", "channel", "status")
 
 
 def batch_summary(plan: DataFrame, results: DataFrame, failures: DataFrame) -> DataFrame:
