@@ -165,8 +165,9 @@ def prefix(u: np.ndarray, classes: np.ndarray, over: np.ndarray, percent: int =
     return u[at], best + 1, over[cell[at]]
 
 
-def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int) -> DataFrame:
-    """Index entries: part, token, s1, size, need. Equal sets of a task are entered once."""
+def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, hot_count: int = HOT_COUNT) -> DataFrame:
+    """Index entries: token, salt, s1, size, need. Equal sets of a task are entered once. Tokens above hot_count are dealt over
+    the salts 1 to SALTS, and salt 0 is for all others: an entry under a hot token is known by its salt alone."""
     spark = docs.sparkSession
     classes = np.minimum(255, np.round(4 * np.log2(1.0 + counts))).astype(np.uint8)
     shared = spark.sparkContext.broadcast((classes, float(counts.mean())))
@@ -190,7 +191,7 @@ def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: in
                 size.append(np.full(len(t), len(u), np.int32))
                 need.append(np.full(len(t), m, np.int8))
                 names.append(np.full(len(t), s1, np.int64))
-                spread.append(np.where(c > HOT_COUNT, s1 % SALTS, 0).astype(np.int8))
+                spread.append(np.where(c > hot_count, 1 + s1 % SALTS, 0).astype(np.int8))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(spread)), pa.array(np.concatenate(names)), pa.array(np.concatenate(size)), pa.array(np.concatenate(need))],
                                                  names=["token", "salt", "s1", "size", "need"])
@@ -198,7 +199,7 @@ def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: in
     return docs.select(text).mapInArrow(run, "token long, salt tinyint, s1 long, size int, need tinyint")
 
 
-def _candidates(index: DataFrame, percent: int) -> DataFrame:
+def _candidates(index: DataFrame, percent: int, light: int = LIGHT) -> DataFrame:
     """v, u, need: pairs of set names that share a light token, a row per token, or a set name and its heavy token."""
     def pairs(s1, size, need):
         i, j = np.triu_indices(len(s1), 1)
@@ -222,7 +223,7 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
             first = np.nonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))[0]
             count = np.diff(np.append(first, len(token)))
             out_v, out_u, out_n = [], [], []
-            is_heavy = (count > LIGHT) | (salt[first] != 0)
+            is_heavy = (count > light) | (salt[first] != 0)
             if heavy is not None and (token[0], salt[0]) == heavy:
                 is_heavy[0] = True
             rows = np.repeat(is_heavy, count)
@@ -314,20 +315,21 @@ def _verify(families: DataFrame, docs: DataFrame, key: str, text: str, percent:
     return spread.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(run, "rep long, root long, links long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, hot_count: int = HOT_COUNT, light: int = LIGHT) -> DataFrame:
     """key, n_shingles, component_id and n_links (other documents within the threshold, copies counted) of every row.
 
     Null and blank texts have no shingles and no links. Rows with a null key are left as they are (component null). Rows
-    that repeat a key count as one document each in n_links."""
+    that repeat a key count as one document each in n_links. hot_count and light only decide how candidates are found: shingles
+    above hot_count are dealt over salts, and those of more than light sets tie them to themselves instead of pairing them."""
     profile = materialize(_profile(docs, key, text))
     rows = profile.where("chunk IS NULL").select(key, "n_shingles", "s1", "s2")
     named = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(32)).cast("int"))
     parts = named.groupBy("s1", "s2", "salt").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
     sets = materialize(parts.groupBy("s1", "s2").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.collect_list("salt").alias("salts")))
-    index = _index(docs.where(F.col(key).isNotNull()), key, text, sketch(profile), percent)
-    pairs = materialize(_candidates(index, percent))
-    light = pairs.where("need > 0").groupBy("v", "u").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("v", "u")
-    tied = components(light.unionAll(pairs.where("need = 0").select("v", "u")))
+    index = _index(docs.where(F.col(key).isNotNull()), key, text, sketch(profile), percent, hot_count)
+    pairs = materialize(_candidates(index, percent, light))
+    shared = pairs.where("need > 0").groupBy("v", "u").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("v", "u")
+    tied = components(shared.unionAll(pairs.where("need = 0").select("v", "u")))
     roots = tied.select(F.col("root").alias("node"), "root").distinct()
     member = sets.select("rep", "copies", F.col("s1").alias("node")).join(tied.unionAll(roots), "node").select("rep", "copies", F.col("root").alias("family"))
     member = member.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(32)).cast("int"))
