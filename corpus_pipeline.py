@@ -13,6 +13,10 @@ from rastertables.llm import bpe, decontaminate, jaccard, quality
 from rastertables.llm.common import materialize, table
 
 
+#: Near duplicates share this percentage of their shingles of so many words; op5's contract has its own figures.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the newest policy rejects."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
@@ -21,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that hang together by links, the one with the smallest doc_id, once."""
-    kept = jaccard.join(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_id"))
+    kept = jaccard.join(docs, percent=NEAR_PERCENT, words=NEAR_WORDS).where("component_id = doc_id").select(F.col("doc_id").alias("_id"))
     one = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionAll(docs.where("doc_id IS NULL"))
 

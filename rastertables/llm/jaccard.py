@@ -93,7 +93,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS):
                 yield np.empty(0, np.uint64)
 
 
-def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _profile(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
     """One pass over the texts: a row per document (size and 128-bit name of its set) and, per task, its sketch in chunks."""
     chunk = 1 << CHUNK_BITS
 
@@ -102,7 +102,7 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
         names = [key, "n_shingles", "s1", "s2", "chunk", "salt", "counts"]
         for b in batches:
             n, s = [], []
-            for u in shingle_sets(b.column(1)):
+            for u in shingle_sets(b.column(1), words):
                 n.append(len(u))
                 s.append(xxhash.xxh3_128_digest(u.tobytes()))
                 sketch += np.bincount((u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)) if len(u) > 50_000 else 0
@@ -165,7 +165,7 @@ def prefix(u: np.ndarray, classes: np.ndarray, over: np.ndarray, percent: int =
     return u[at], best + 1, over[cell[at]]
 
 
-def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, hot_count: int = HOT_COUNT) -> DataFrame:
+def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: int, words: int = WORDS, hot_count: int = HOT_COUNT) -> DataFrame:
     """Index entries: token, salt, s1, size, need. Equal sets of a task are entered once. Tokens above hot_count are dealt over
     the salts 1 to SALTS, and salt 0 is for all others: an entry under a hot token is known by its salt alone."""
     spark = docs.sparkSession
@@ -179,7 +179,7 @@ def _index(docs: DataFrame, key: str, text: str, counts: np.ndarray, percent: in
         seen: set[int] = set()
         for b in batches:
             tokens, size, need, names, spread = [], [], [], [], []
-            for u in shingle_sets(b.column(0)):
+            for u in shingle_sets(b.column(0), words):
                 if len(u) < least:   # Below this size only equal sets link
                     continue
                 s1 = int(np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), "<i8")[0])
@@ -274,11 +274,11 @@ def compare(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, perce
     return root, linked @ copies
 
 
-def _verify(families: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def _verify(families: DataFrame, docs: DataFrame, key: str, text: str, percent: int, words: int = WORDS) -> DataFrame:
     """families: rep, family, copies, blocks, block. Returns rep, root, links: what each rep is linked to, block by block."""
     def with_sets(batches):
         for b in batches:
-            sets = [u.tobytes() for u in shingle_sets(b.column(5))]
+            sets = [u.tobytes() for u in shingle_sets(b.column(5), words)]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.binary())], names=["rep", "family", "copies", "blocks", "block", "shingles"])
 
     small = families.select("rep").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -315,18 +315,20 @@ def _verify(families: DataFrame, docs: DataFrame, key: str, text: str, percent:
     return spread.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(run, "rep long, root long, links long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, hot_count: int = HOT_COUNT, light: int = LIGHT) -> DataFrame:
-    """key, n_shingles, component_id and n_links (other documents within the threshold, copies counted) of every row.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS, hot_count: int = HOT_COUNT,
+         light: int = LIGHT) -> DataFrame:
+    """key, n_shingles, component_id and n_links (other documents whose sets of shingles of `words` words overlap by percent at
+    least, copies counted) of every row.
 
     Null and blank texts have no shingles and no links. Rows with a null key are left as they are (component null). Rows
     that repeat a key count as one document each in n_links. hot_count and light only decide how candidates are found: shingles
     above hot_count are dealt over salts, and those of more than light sets tie them to themselves instead of pairing them."""
-    profile = materialize(_profile(docs, key, text))
+    profile = materialize(_profile(docs, key, text, words))
     rows = profile.where("chunk IS NULL").select(key, "n_shingles", "s1", "s2")
     named = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(32)).cast("int"))
     parts = named.groupBy("s1", "s2", "salt").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
     sets = materialize(parts.groupBy("s1", "s2").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.collect_list("salt").alias("salts")))
-    index = _index(docs.where(F.col(key).isNotNull()), key, text, sketch(profile), percent, hot_count)
+    index = _index(docs.where(F.col(key).isNotNull()), key, text, sketch(profile), percent, words, hot_count)
     pairs = materialize(_candidates(index, percent, light))
     shared = pairs.where("need > 0").groupBy("v", "u").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("v", "u")
     tied = components(shared.unionAll(pairs.where("need = 0").select("v", "u")))
@@ -336,7 +338,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     sizes = member.groupBy("family", "_salt").agg(F.count("*").alias("_n")).groupBy("family").agg(F.sum("_n").alias("_n"), F.collect_list("_salt").alias("_salts"))
     sizes = sizes.where("_n > 1").select("family", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"), F.explode("_salts").alias("_salt"))
     families = materialize(member.join(sizes, ["family", "_salt"]).select("rep", "family", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")))
-    links = materialize(_verify(families, docs, key, text, percent))
+    links = materialize(_verify(families, docs, key, text, percent, words))
     joined = components(links.select(F.col("rep").alias("v"), F.col("root").alias("u")))
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
     whole = (sets.join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from rastertables.llm import jaccard
 
 
@@ -33,3 +34,17 @@ def test_every_salt_of_a_hot_shingle_is_heavy(spark, hot_count, light):
     got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard.join(table, hot_count=hot_count, light=light).collect()}
     _, root, links = brute_links(rows, jaccard.WORDS, jaccard.PERCENT)
     assert got == {i: (c, n) for i, (c, n) in enumerate(zip(root, links))}
+
+
+def test_near_duplicate_stage_takes_five_words_and_80_percent(spark):
+    """Pairs of 50 words with one changed inside: 41 of 51 shingles of five words, 43 of 51 of four (no link at 85)."""
+    rows = []
+    for n in range(4):
+        w = [f"t{n}w{k}" for k in range(50)]
+        rows += [" ".join(w), " ".join(w[:20] + ["changed"] + w[21:])]
+    rows += ["one two three four", "one two three four", "one two three other", " ".join(f"last{k}" for k in range(9))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in jaccard.join(docs, percent=80, words=5).collect()}
+    sets, root, links = brute_links(rows, 5, 80)
+    assert got == {i: (len(s), c, n) for i, (s, c, n) in enumerate(zip(sets, root, links))}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(root)) == [0, 2, 4, 6, 8, 10, 11]
