@@ -181,29 +181,33 @@ def clean_labels(labels: DataFrame, extents: DataFrame, n: int, pixel_um=(1.0, 1
 
 # ---------- uncertainty and suggestions ----------
 
-def uncertainty(patches: DataFrame, protos: DataFrame, on: list[str], thresholds: DataFrame, neg_weight: float = 1.0, n_draws: int = 16, seed: int = 0,
-                keys: list[str] = SLICE, few: int = 24) -> DataFrame:
-    """Share of redraws of the points in which a patch changes sides. Up to 24 points, each is left out in turn: the
-    mean without point i is (n * mean - v_i) / (n - 1), so redraws are vectors, not recomputations. Beyond, 80 %
-    subsets are picked by hash rank. Scores keep the scale of the full result. thresholds: on + threshold (0..1)."""
+def uncertainty(patches: DataFrame, protos: DataFrame, on: list[str], thresholds: DataFrame, mode: str, neg_weight: float = 1.0, n_draws: int = 16, seed: int = 0,
+                keys: list[str] = SLICE) -> DataFrame:
+    """Share of redraws of the points in which a patch changes sides. mode "leave_one_out": each point is left out in
+    turn, however many there are: the mean without point i is (n * mean - v_i) / (n - 1), so redraws are vectors, not
+    recomputations. mode "subsets": n_draws 80 % subsets picked by hash rank. Scores keep the scale of the full result.
+    thresholds: on + threshold (0..1)."""
+    if mode not in ("leave_one_out", "subsets"):
+        raise ValueError(f"unknown mode {mode!r}")
     unit = protos.withColumn("vec", l2_normalize(F.col("vec")))
     means = mean_prototypes(protos, on)
     unit = unit.join(means.select(*on, "pos", "neg", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("n_neg", F.lit(0)).alias("n_neg")), on)
-    small = F.col("n_pos") + F.col("n_neg") <= few
     positive = F.col("polarity") == "pos"
     n = F.when(positive, F.col("n_pos")).otherwise(F.col("n_neg"))
     full = F.when(positive, F.col("pos")).otherwise(F.col("neg"))
     without = F.when(n > 1, F.zip_with(full, "vec", lambda m, v: (m * n - v) / (n - 1)))
-    left_out = (unit.where(small & ~(positive & (F.col("n_pos") == 1)))
-                .select(*on, F.concat_ws(":", "polarity", F.col("ord").cast("string")).alias("draw"),
-                        F.when(positive, without).otherwise(F.col("pos")).alias("pos"), F.when(positive, F.col("neg")).otherwise(without).alias("neg")))
-    many = unit.where(~small).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    rank = F.row_number().over(Window.partitionBy(*on, "_d", "polarity").orderBy(F.xxhash64(F.lit(seed), "_d", "ord", "polarity"), "ord"))
-    kept = many.withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.floor(n * 0.8), F.when(positive, 1).otherwise(0)))
-    subsets = mean_vector(kept.select(*on, "_d", "polarity", "vec"), [*on, "_d", "polarity"])
-    subsets = subsets.groupBy(*on, F.col("_d").cast("string").alias("draw")).agg(
-        F.max(F.when(positive, F.col("vec"))).alias("pos"), F.max(F.when(~positive, F.col("vec"))).alias("neg"))
-    draws = left_out.unionByName(subsets).select(*on, "draw", F.col("pos").alias("_dp"), F.col("neg").alias("_dn"))
+    if mode == "leave_one_out":
+        draws = (unit.where(~(positive & (F.col("n_pos") == 1)))
+                 .select(*on, F.concat_ws(":", "polarity", F.col("ord").cast("string")).alias("draw"),
+                         F.when(positive, without).otherwise(F.col("pos")).alias("pos"), F.when(positive, F.col("neg")).otherwise(without).alias("neg")))
+    else:
+        many = unit.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+        rank = F.row_number().over(Window.partitionBy(*on, "_d", "polarity").orderBy(F.xxhash64(F.lit(seed), "_d", "ord", "polarity"), "ord"))
+        kept = many.withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.floor(n * 0.8), F.when(positive, 1).otherwise(0)))
+        subsets = mean_vector(kept.select(*on, "_d", "polarity", "vec"), [*on, "_d", "polarity"])
+        draws = subsets.groupBy(*on, F.col("_d").cast("string").alias("draw")).agg(
+            F.max(F.when(positive, F.col("vec"))).alias("pos"), F.max(F.when(~positive, F.col("vec"))).alias("neg"))
+    draws = draws.select(*on, "draw", F.col("pos").alias("_dp"), F.col("neg").alias("_dn"))
     base = patches.select(*keys, "gy", "gx", "vec").join(means, on)
     score = lambda p, q: dot(F.col("vec"), F.col(p)) - neg_weight * F.when(F.col(q).isNull(), 0.0).otherwise(dot(F.col("vec"), F.col(q)))
     base = base.withColumn("_full", score("pos", "neg"))

@@ -257,20 +257,32 @@ fs AS (SELECT *, min(s) OVER (PARTITION BY volume_id, z) AS lo, max(s) OVER (PAR
 fx AS (SELECT f.*, CASE WHEN polarity = 'pos' THEN (sp - d) / (np - 1) - sn / nn WHEN nn > 1 THEN sp / np - (sn - d) / (nn - 1) ELSE sp / np END AS s2 FROM fs f JOIN fd USING (volume_id, z, gy, gx) WHERE NOT (polarity = 'pos' AND np = 1))"""
 
 
-@query("t13_uncertainty_leave_one_out", L.with_views("patches", extra=FEW) + f"""
-SELECT volume_id, z, gy, gx, {s6('avg(CASE WHEN (least(greatest((s2 - lo) / (hi - lo), 0), 1) >= 0.6) <> ((s - lo) / (hi - lo) >= 0.6) THEN 1.0 ELSE 0.0 END)', 'uncertainty')} FROM fx GROUP BY 1, 2, 3, 4""")
-def t13(spark, sf):
-    p = few_points(spark, sf)
+ALL_POINTS = FEW.replace(" WHERE ord % 500 < 40", "")
+FLIPS = f"""
+SELECT volume_id, z, gy, gx, {s6('avg(CASE WHEN (least(greatest((s2 - lo) / (hi - lo), 0), 1) >= 0.6) <> ((s - lo) / (hi - lo) >= 0.6) THEN 1.0 ELSE 0.0 END)', 'uncertainty')} FROM fx GROUP BY 1, 2, 3, 4"""
+
+
+def left_out(spark, sf, p):
     thr = p.select("volume_id").distinct().withColumn("threshold", F.lit(0.6))
-    u = S.uncertainty(L.patch_vectors(spark, sf), p, ["volume_id"], thr)
+    u = S.uncertainty(L.patch_vectors(spark, sf), p, ["volume_id"], thr, "leave_one_out")
     return u.select("volume_id", "z", "gy", "gx", r6(F.col("value"), "uncertainty"))
 
 
+@query("t13_uncertainty_leave_one_out", L.with_views("patches", extra=FEW) + FLIPS)
+def t13(spark, sf):
+    return left_out(spark, sf, few_points(spark, sf))
+
+
+@query("t13_uncertainty_leave_one_out_all_points", L.with_views("patches", extra=ALL_POINTS) + FLIPS)
+def t13_all(spark, sf):
+    return left_out(spark, sf, protos(spark, sf))
+
+
 @query("t13_uncertainty_subsets")
 def t13_subsets(spark, sf):
     p = protos(spark, sf)
     thr = p.select("volume_id").distinct().withColumn("threshold", F.lit(0.6))
-    return S.uncertainty(L.patch_vectors(spark, sf), p, ["volume_id"], thr)
+    return S.uncertainty(L.patch_vectors(spark, sf), p, ["volume_id"], thr, "subsets")
 
 
 @query("t14_probability_uncertainty", L.with_views("dense", extra=HEAT) + """
