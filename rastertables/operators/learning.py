@@ -70,14 +70,13 @@ def most_probable(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("label", (-best["k"]).cast("int")).drop(*columns)
 
 
-def folds(slices: DataFrame, max_folds: int = 5) -> DataFrame:
-    """Leave-one-out up to six labelled slices, interleaved folds beyond. Slices are numbered inside their volume; only
+def folds(slices: DataFrame, n_folds: int | None) -> DataFrame:
+    """So many interleaved folds; None: every slice is a fold of its own. Slices are numbered inside their volume; only
     the totals per volume are accumulated over the whole table."""
     ids = slices.select(*SLICE).distinct().withColumn("_all", F.lit(0))
     i = banded_ordinal(ids, ["_all"], F.col("volume_id"), ["z"], "_i")
-    n = ids.groupBy("_all").agg(F.count("*").alias("_n"))
-    fold = F.when(F.col("_n") <= 6, F.col("_i")).otherwise(F.col("_i") % max_folds).cast("int")
-    return i.join(n, "_all").select(*SLICE, fold.alias("fold"))
+    fold = F.col("_i") if n_folds is None else F.col("_i") % n_folds
+    return i.select(*SLICE, fold.cast("int").alias("fold"))
 
 
 def mean_dice(held: DataFrame, cut: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -101,10 +100,10 @@ def calibrate(held: DataFrame) -> DataFrame:
     return m.agg(F.max_by(F.struct("threshold", "dice"), F.struct(F.bround("dice", 4), -F.round(F.abs(F.col("threshold") - 0.5), 6), -F.col("threshold"))).alias("b")).select("b.*")
 
 
-def cross_validate(samples: DataFrame, candidates: dict[str, callable]) -> DataFrame:
-    """Held-out predictions of every candidate: (candidate, slice, patch, value, truth). The loop is over a few folds and
-    candidates; every fit and prediction is a Spark job over all patches."""
-    f = materialize(samples.join(folds(samples), SLICE))
+def cross_validate(samples: DataFrame, candidates: dict[str, callable], n_folds: int | None) -> DataFrame:
+    """Held-out predictions of every candidate: (candidate, slice, patch, value, truth). The loop is over the folds
+    (see folds) and candidates; every fit and prediction is a Spark job over all patches."""
+    f = materialize(samples.join(folds(samples, n_folds), SLICE))
     out = None
     for fold in [r["fold"] for r in f.select("fold").distinct().orderBy("fold").collect()]:
         train, test = f.where(F.col("fold") != fold), f.where(F.col("fold") == fold)

@@ -223,13 +223,14 @@ def probability_uncertainty(p: Column) -> Column:
     return F.least(F.greatest(1 - 4 * F.abs(p - 0.5), F.lit(0.0)), F.lit(1.0))
 
 
-def suggest_point(u: DataFrame, points: DataFrame, height: int, width: int, work_side: int = 400, away: float = 0.05, keys: list[str] = SLICE) -> DataFrame:
-    """Most uncertain place of every slice away from its points, on a block mean of at most work_side cells; none when
-    nothing is uncertain."""
-    f = max(1, -(-max(height, width) // work_side))
-    sh, sw = height // f, width // f
-    small = (u.where((F.col("y") < sh * f) & (F.col("x") < sw * f))
-             .groupBy(*keys, F.floor(F.col("y") / f).cast("int").alias("y"), F.floor(F.col("x") / f).cast("int").alias("x")).agg(F.avg("value").alias("value")))
+def suggest_point(u: DataFrame, points: DataFrame, height: int, width: int, work_side: int | None = None, away: float = 0.05, keys: list[str] = SLICE) -> DataFrame:
+    """Most uncertain place of every slice away from its points; none when nothing is uncertain. Cells are looked at one by
+    one; with work_side, as means of blocks (the last ones may be smaller) of which a side holds at most so many."""
+    f = max(1, -(-max(height, width) // work_side)) if work_side else 1
+    sh, sw = -(-height // f), -(-width // f)
+    small = u if f == 1 else (
+        u.groupBy(*keys, F.floor(F.col("y") / f).cast("int").alias("y"), F.floor(F.col("x") / f).cast("int").alias("x")).agg(F.avg("value").alias("value")))
+    small = small.select(*keys, "y", "x", "value")
     sigma = max(1.0, min(sh, sw) / 100)
     blurred = G.gaussian_blur(small, (sigma, sigma), sh, sw, keys)
     r = away * max(sh, sw)

@@ -177,12 +177,17 @@ def l3(spark, sf):
 
 @query("l4_fold_assignment", L.with_views("patches") + "SELECT volume_id, z, CAST(CASE WHEN n <= 6 THEN i ELSE i % 5 END AS INTEGER) AS fold FROM (SELECT volume_id, z, row_number() OVER (ORDER BY volume_id, z) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT volume_id, z FROM patches))")
 def l4(spark, sf):
-    return ML.folds(L.patch_vectors(spark, sf))
+    """The rule of the SQL: every slice its own fold up to six slices, five folds beyond."""
+    return ML.folds(L.patch_vectors(spark, sf), rule_l4(L.patch_vectors(spark, sf)))
+
+
+def rule_l4(slices):
+    return None if slices.select(*SL).distinct().count() <= 6 else 5
 
 
 def held_out(spark, sf):
     s = samples(spark, sf)
-    return ML.cross_validate(s, {"linear": ML.fit_linear, "linear, context 3": lambda t: ML.fit_linear(t, 1e-2)})
+    return ML.cross_validate(s, {"linear": ML.fit_linear, "linear, context 3": lambda t: ML.fit_linear(t, 1e-2)}, rule_l4(s))
 
 
 @query("l5_model_selection")
@@ -223,7 +228,7 @@ def l9(spark, sf):
     from ..operators.grid import z_context
     v = z_context(L.patch_vectors(spark, sf).select(*SL, "gy", "gx", "vec"), 1, 5)
     s = v.join(samples(spark, sf).select(*SL, "gy", "gx", "target"), [*SL, "gy", "gx"])
-    held = ML.cross_validate(s, {"linear": ML.fit_linear})
+    held = ML.cross_validate(s, {"linear": ML.fit_linear}, rule_l4(s))
     return ML.select_model(held).join(ML.calibrate(held).select(F.lit("linear").alias("candidate"), "threshold"), "candidate")
 
 
