@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, decontaminate, html, jaccard, quality, shards, tokens, warc
+from . import bpe, chat, counts, decontaminate, html, jaccard, lines, quality, shards, tokens, warc
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable] = {}
@@ -123,3 +123,13 @@ def op10(spark, sf_dir):
     ids = materialize(tokens.encode_words(docs, public_tokenizers.path("word_bpe_49k.json")), compression="zstd")
     tokens.write(ids, path)
     return tokens.checksums(tokens.read(spark, path))
+
+@query("op13_line_keep_bitmaps", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+f AS (SELECT k.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM k LEFT JOIN o USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""")
+def op13(spark, sf_dir):
+    return lines.digests(table(spark, sf_dir, "documents"))
