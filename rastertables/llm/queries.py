@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, decontaminate, html, jaccard, lines, quality, shards, tokens, warc
+from . import bpe, chat, counts, decontaminate, html, jaccard, lines, quality, search, shards, tokens, tries, warc
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable] = {}
@@ -133,3 +133,43 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""")
 def op13(spark, sf_dir):
     return lines.digests(table(spark, sf_dir, "documents"))
+
+
+CRC32_SQL = """list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+ lambda acc, b: list_reduce([xor(acc, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+
+@query("op11_block_hash_trie", f"""
+WITH t AS (SELECT conv_id, md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS bytes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor({CRC32_SQL}, 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+borrowed AS (SELECT c.conv_id, t.pos, t.h, t.bytes FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h),
+own AS (SELECT t.conv_id, 1000000 + t.pos AS pos, t.h, t.bytes FROM t JOIN c USING (conv_id) WHERE t.pos >= c.h),
+r AS (SELECT conv_id, list(h ORDER BY pos) AS hs, list(bytes ORDER BY pos) AS bs FROM (FROM borrowed UNION ALL FROM own) GROUP BY conv_id),
+a AS (SELECT conv_id, coalesce(hs, []) AS hs, coalesce(bs, []) AS bs FROM c LEFT JOIN r USING (conv_id)),
+m AS (SELECT conv_id, depth, md5(array_to_string(hs[1:depth], ',')) AS k, CASE WHEN depth = 0 THEN 0 ELSE bs[depth] END AS bytes, len(hs) = depth AS ended,
+  CASE WHEN depth > 0 THEN md5(array_to_string(hs[1:depth - 1], ',')) END AS pk FROM (SELECT *, unnest(range(len(hs) + 1)) AS depth FROM a)),
+n AS (SELECT depth, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended) AS ids FROM m GROUP BY depth, k),
+p AS (SELECT n.*, u.conv_id AS parent_conv_id FROM n LEFT JOIN n AS u ON u.depth = n.depth - 1 AND u.k = n.pk),
+kids AS (SELECT pk, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+q AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN kids ON kids.pk = p.k AND kids.depth = p.depth),
+s AS (SELECT m.depth, m.k, sum(CASE WHEN q.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((q.n_convs - 1) * q.bytes) AS saved_tokens FROM q JOIN m ON m.conv_id = q.conv_id AND m.depth <= q.depth GROUP BY ALL)
+SELECT q.conv_id, q.depth::BIGINT AS depth, q.parent_conv_id, q.n_convs, q.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+ sha256(coalesce(q.ids, '')) AS ends_sha256 FROM q JOIN s USING (depth, k)""")
+def op11(spark, sf_dir):
+    turns = materialize(tries.ordered_turns(table(spark, sf_dir, "conversations")))
+    return tries.trie(*tries.share_heads(turns))
+
+
+@query("op12_pipelined_term_search", """
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+d AS (SELECT *, len(w) AS n FROM t WHERE len(w) > 0), s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+c AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))) AS gain FROM f JOIN c USING (term), s),
+r AS (SELECT item_id, doc_id, sum(times * gain)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL HAVING sum(times * gain) > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r)
+SELECT * FROM k WHERE rank <= 20""")
+def op12(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
