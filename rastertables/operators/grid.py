@@ -1,8 +1,8 @@
 """Operators on dense pixel rows (keys, y, x, value): normalising, resampling, smoothing, pooling, patch features.
 
-Stencils are separable and run as windows over one image row or one image column at a time, so a partition never
-holds more than one line of an image, whatever the number of pixels of a slice. Statistics of a slice are aggregates
-with map-side combine that are joined back; Spark broadcasts them only while they are below its size threshold."""
+Stencils run on tiles with a halo (tiles.py): one exchange a chain, whatever the number of pixels of a slice. Statistics of
+a slice are aggregates with map-side combine that are joined back; Spark broadcasts them only while they are below its size
+threshold."""
 from __future__ import annotations
 
 import math
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import group_quantiles
 from ..functions.vectors import dot, l2_normalize
 from ..session import SLICE
+from . import tiles
 
 # Stain matrix of haematoxylin, eosin and DAB (Ruifrok and Johnston 2001), rows are stains
 STAINS = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78))
@@ -91,38 +92,16 @@ def above_quantile(df: DataFrame, q: float = 0.85, keys: list[str] = SLICE, valu
     return df.join(cut, keys).where(F.col(value) > F.col("_cut")).drop("_cut")
 
 
-# ---------- borders and lines ----------
-
-def _mirror_positions(i: Column, n, r: int, mode: str) -> Column:
-    """All positions in -r..n-1+r that hold the sample at i: itself and its images beyond both ends.
-
-    'reflect' repeats the edge sample (c b a | a b c), 'mirror' does not (c b | a b c)."""
-    n = as_col(n)
-    period = F.when(n == 1, F.lit(1)).otherwise(2 * n - 2) if mode == "mirror" else 2 * n
-    opposite = -i if mode == "mirror" else -i - 1
-    span = F.sequence(F.lit(-r), n - 1 + r)
-    return F.filter(span, lambda p: (F.pmod(p - i, period) == 0) | (F.pmod(p - opposite, period) == 0))
-
-
-def pad_axis(df: DataFrame, axis: str, n, r: int, mode: str = "reflect") -> DataFrame:
-    """Repeat the samples near both ends of an axis beyond the ends. Only lines within r of an end are repeated."""
-    i = F.col(axis)
-    near = (i < r + 1) | (i >= n - r - 1)
-    places = F.when(near, _mirror_positions(i, n, r, mode)).otherwise(F.array(i))
-    return df.withColumn(axis, F.explode(places))
-
+# ---------- stencils ----------
 
 def _line(keys: list[str], axis: str, other: list[str]):
     return Window.partitionBy(*keys, *other).orderBy(axis)
 
 
 def box_mean(df: DataFrame, r: int, height, width, cols: list[str] = ["value"], keys: list[str] = SLICE) -> DataFrame:
-    """Mean over the (2r+1) square around every cell, with repeated edge samples, for several columns at once."""
-    for axis, n, other in (("x", width, ["y"]), ("y", height, ["x"])):
-        w = _line(keys, axis, other).rowsBetween(-r, r)
-        padded = pad_axis(df, axis, n, r)
-        df = padded.withColumns({c: F.avg(c).over(w) for c in cols}).where((F.col(axis) >= 0) & (F.col(axis) < n))
-    return df
+    """Mean over the (2r+1) square around every cell, with repeated edge samples, for several columns at once. Missing
+    cells and nulls are left out of the means."""
+    return tiles.stencil(df, lambda p, _: {c: tiles.box(p[c], r) for c in cols}, (r, r), (height, width), cols, cols, keys)
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -132,22 +111,19 @@ def gaussian_kernel(sigma: float) -> list[float]:
 
 
 def smooth_axis(df: DataFrame, axis: str, n, sigma: float, lines: list[str], value: str = "value", mode: str = "reflect") -> DataFrame:
-    """Gaussian smoothing along one axis, the kernel cut at four standard deviations."""
+    """Gaussian smoothing along one axis, the kernel cut at four standard deviations. lines tell the rows of a line; the
+    last of them is the other axis of the tiles."""
     if sigma <= 0:
         return df
     kernel = gaussian_kernel(sigma)
-    r = len(kernel) // 2
-    w = Window.partitionBy(*lines).orderBy(axis).rowsBetween(-r, r)
-    taps = F.array(*[F.lit(k) for k in kernel])
-    padded = pad_axis(df, axis, n, r, mode).withColumn("_near", F.collect_list(value).over(w))
-    inside = padded.where((F.col(axis) >= 0) & (F.col(axis) < n))
-    total = F.aggregate(F.zip_with("_near", taps, lambda v, k: v * k), F.lit(0.0), lambda s, v: s + v)
-    return inside.withColumn(value, total).drop("_near")
+    step = lambda p, _: {value: tiles.convolve(p[value], kernel, 0)}
+    return tiles.stencil(df, step, (len(kernel) // 2, 0), (n, None), [value], [value], lines[:-1], (axis, lines[-1]), mode=mode)
 
 
 def gaussian_blur(df: DataFrame, sigma: tuple[float, float], height, width, keys: list[str] = SLICE, value: str = "value") -> DataFrame:
-    df = smooth_axis(df, "x", width, sigma[1], [*keys, "y"], value)
-    return smooth_axis(df, "y", height, sigma[0], [*keys, "x"], value)
+    kernels = [gaussian_kernel(s) if s > 0 else [1.0] for s in sigma]
+    step = lambda p, _: {value: tiles.convolve(tiles.convolve(p[value], kernels[0], 0), kernels[1], 1)}
+    return tiles.stencil(df, step, (len(kernels[0]) // 2, len(kernels[1]) // 2), (height, width), [value], [value], keys)
 
 
 def smooth_z(df: DataFrame, sigma: float, n_z, value: str = "value") -> DataFrame:
@@ -157,16 +133,8 @@ def smooth_z(df: DataFrame, sigma: float, n_z, value: str = "value") -> DataFram
 
 def shift_plane(df: DataFrame, dy: float, dx: float, height, width, keys: list[str] = SLICE, value: str = "value") -> DataFrame:
     """Image moved by (-dy, -dx): position (y, x) takes the bilinear sample at (y + dy, x + dx), edges reflected."""
-    for axis, d, n, other in (("x", dx, width, ["y"]), ("y", dy, height, ["x"])):
-        if d == 0:
-            continue
-        whole, frac = math.floor(d), d - math.floor(d)
-        w = _line(keys, axis, other)
-        padded = pad_axis(df, axis, n, abs(whole) + 2)
-        ahead = lambda k: F.lead(value, k).over(w) if k >= 0 else F.lag(value, -k).over(w)
-        padded = padded.withColumn(value, ahead(whole) * (1 - frac) + ahead(whole + 1) * frac)
-        df = padded.where((F.col(axis) >= 0) & (F.col(axis) < n))
-    return df
+    reach = math.ceil(max(abs(dy), abs(dx))) + 1
+    return tiles.stencil(df, lambda p, _: {value: tiles.shifted(p[value], dy, dx, reach)}, (reach, reach), (height, width), [value], [value], keys)
 
 
 # ---------- resampling ----------
@@ -264,14 +232,10 @@ def edge_xor(mask: DataFrame, height, width, keys: list[str] = SLICE) -> DataFra
 # ---------- edge-preserving smoothing ----------
 
 def guided_filter(df: DataFrame, r: int, eps: float, height, width, keys: list[str] = SLICE) -> DataFrame:
-    """Guided filter (He, Sun and Tang 2013): 'value' is smoothed where 'guide' is flat and keeps the guide's edges.
-    All four local means of the first step come out of one pass over the rows and one over the columns."""
-    m = df.withColumns({"_i": F.col("guide"), "_p": F.col("value"), "_ip": F.col("guide") * F.col("value"), "_ii": F.col("guide") * F.col("guide")})
-    m = box_mean(m, r, height, width, ["_i", "_p", "_ip", "_ii"], keys)
-    m = m.withColumn("_a", (F.col("_ip") - F.col("_i") * F.col("_p")) / (F.col("_ii") - F.col("_i") * F.col("_i") + eps))
-    m = m.withColumn("_b", F.col("_p") - F.col("_a") * F.col("_i")).drop("_i", "_p", "_ip", "_ii")
-    m = box_mean(m, r, height, width, ["_a", "_b"], keys)
-    return m.withColumn("value", F.col("_a") * F.col("guide") + F.col("_b")).drop("_a", "_b")
+    """Guided filter (He, Sun and Tang 2013): 'value' is smoothed where 'guide' is flat and keeps the guide's edges. Both
+    steps run on one tile that reaches over 2r cells."""
+    step = lambda p, _: {"value": tiles.guided(p["guide"], p["value"], r, eps)}
+    return tiles.stencil(df, step, (2 * r, 2 * r), (height, width), ["guide", "value"], ["value"], keys)
 
 
 # ---------- patch vectors ----------
@@ -360,33 +324,45 @@ def interleaved_vectors(df: DataFrame, passes: int, patch: int, height, width, d
 
 
 def pixel_features(df: DataFrame, height, width, sigmas: tuple[float, ...] = (1.0, 2.0, 4.0), keys: list[str] = SLICE) -> DataFrame:
-    """Intensity, edge strength and the two Hessian eigenvalues per pixel at several scales, one wide row per pixel."""
-    out = df.select(*keys, "y", "x")
-    rows, cols = _line(keys, "x", ["y"]), _line(keys, "y", ["x"])
-    for k, s in enumerate(sigmas):
-        g = gaussian_blur(df, (s, s), height, width, keys).select(*keys, "y", "x", "value")
-        # Column lines first: the blur left the rows partitioned that way
-        g = g.withColumns({"_dy": _gradient("value", cols), "_sy": _weighted("value", cols, 0.25, 0.5), "_ey": _weighted("value", cols, 0.5, None)})
-        g = g.withColumn("_dyy", _gradient("_dy", cols))
-        g = g.withColumns({"_dx": _gradient("value", rows), "_dxy": _gradient("_dy", rows), "_ex": _weighted("_sy", rows, 0.5, None),
-                           "_ey": _weighted("_ey", rows, 0.25, 0.5)})
-        g = g.withColumn("_dxx", _gradient("_dx", rows))
-        mid = (F.col("_dxx") + F.col("_dyy")) / 2
-        gap = F.sqrt(((F.col("_dxx") - F.col("_dyy")) / 2) ** 2 + F.col("_dxy") ** 2)
-        g = g.select(*keys, "y", "x", F.col("value").alias(f"level{k}"), F.sqrt((F.col("_ex") ** 2 + F.col("_ey") ** 2) / 2).alias(f"edge{k}"),
-                     (mid + gap).alias(f"ridge{k}"), (mid - gap).alias(f"valley{k}"))
-        out = out.join(g, [*keys, "y", "x"])
-    return out
-
-
-def _gradient(src: str, line) -> Column:
-    """Central difference, one-sided at the ends of the line."""
-    before, after = F.lag(src).over(line), F.lead(src).over(line)
-    steps = F.lit(0) + before.isNotNull().cast("int") + after.isNotNull().cast("int")
-    return F.when(steps == 0, 0.0).otherwise((F.coalesce(after, F.col(src)) - F.coalesce(before, F.col(src))) / steps)
-
-
-def _weighted(src: str, line, side: float, centre: float | None) -> Column:
-    """Three-tap filter with repeated ends: smoothing when a centre weight is given, a difference otherwise."""
-    before, after = F.coalesce(F.lag(src).over(line), F.col(src)), F.coalesce(F.lead(src).over(line), F.col(src))
-    return (after - before) * side if centre is None else (after + before) * side + F.col(src) * centre
+    """Intensity, edge strength and the two Hessian eigenvalues per pixel at several scales, one wide row per pixel. All
+    scales come out of one tile: the blur's reach, and two cells more for the derivatives."""
+    kernels = [gaussian_kernel(s) for s in sigmas]
+    reach = max(len(k) // 2 for k in kernels) + 2
+    names = [f"{n}{k}" for k in range(len(sigmas)) for n in ("level", "edge", "ridge", "valley")]
+
+    def step(p, inside):
+        out = {}
+        core = [slice(reach - s.start, p["value"].shape[a] - reach - s.start) for a, s in enumerate(inside)]
+        for k, kernel in enumerate(kernels):
+            r = len(kernel) // 2
+            g = tiles.convolve(tiles.convolve(p["value"], kernel, 0), kernel, 1)
+            # Back to the part of the image that the tile holds: derivatives are one-sided at its true ends
+            g = g[tuple(slice(max(s.start - r, 0), s.stop - r) for s in inside)]
+            cut = [slice(c.start - max(r - s.start, 0), c.stop - max(r - s.start, 0)) for c, s in zip(core, inside)]
+            made = _shape_features(g)
+            out |= {f"{n}{k}": v[tuple(cut)] for n, v in made.items()}
+        return out
+
+    out = tiles.stencil(df.select(*keys, "y", "x", "value"), step, (reach, reach), (height, width), ["value"], names, keys)
+    return out.select(*keys, "y", "x", *names)
+
+
+def _slope(a: np.ndarray, axis: int) -> np.ndarray:
+    """Central difference, one-sided at the ends."""
+    return np.gradient(a, axis=axis) if a.shape[axis] > 1 else np.zeros_like(a)
+
+
+def _three_taps(a: np.ndarray, axis: int, side: float, centre: float | None) -> np.ndarray:
+    """Smoothing when a centre weight is given, a difference otherwise; the ends repeat."""
+    a = np.moveaxis(a, axis, 0)
+    before, after = np.concatenate([a[:1], a[:-1]]), np.concatenate([a[1:], a[-1:]])
+    return np.moveaxis((after - before) * side if centre is None else (after + before) * side + a * centre, 0, axis)
+
+
+def _shape_features(g: np.ndarray) -> dict[str, np.ndarray]:
+    ex = _three_taps(_three_taps(g, 0, 0.25, 0.5), 1, 0.5, None)
+    ey = _three_taps(_three_taps(g, 0, 0.5, None), 1, 0.25, 0.5)
+    dy = _slope(g, 0)
+    dyy, dxx, dxy = _slope(dy, 0), _slope(_slope(g, 1), 1), _slope(dy, 1)
+    mid, gap = (dxx + dyy) / 2, np.sqrt(((dxx - dyy) / 2) ** 2 + dxy ** 2)
+    return {"level": g, "edge": np.sqrt((ex ** 2 + ey ** 2) / 2), "ridge": mid + gap, "valley": mid - gap}
