@@ -119,10 +119,11 @@ def op9(spark, sf_dir):
 @query("op10_huffman_token_files")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    path = scratch_path(spark, "tokens")
-    ids = materialize(tokens.encode_words(docs, public_tokenizers.path("word_bpe_49k.json")), compression="zstd")
-    tokens.write(ids, path)
-    return tokens.checksums(tokens.read(spark, path))
+    path, vocabulary = scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
+    wide = tokens.is_wide(vocabulary)
+    ids = materialize(tokens.encode_words(docs, vocabulary), compression="zstd")
+    tokens.write(ids, path, wide=wide)
+    return tokens.checksums(tokens.read(spark, path), wide=wide)
 
 @query("op13_line_keep_bitmaps", """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),

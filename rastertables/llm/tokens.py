@@ -1,12 +1,12 @@
 """Token-id files: ids in a canonical, length-limited Huffman code built from the counts of the whole corpus.
 
-A file set is two Parquet tables. `code`: the code length of every id in use. `blocks`: rows in ascending key order, each
+A file set is two Parquet tables. `code`: the code length of every id in use, and whether ids take 32 bits. `blocks`: rows in ascending key order, each
 an independent block of whole documents with the number of ids before it, the documents' keys and lengths, the bit stream
 and the bit offset of every STEP-th id (checkpoints), from which all stretches are decoded side by side by table."""
 from __future__ import annotations
 
-import unicodedata
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,69 +21,71 @@ from .pretokens import WHITE
 LONGEST, STEP, BLOCK_IDS = 18, 128, 1 << 18
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATORS = "\x1c\x1d\x1e\x1f"   # White space for str.split, not for the tokenizer
-KEPT_WORDS, KEPT_CHARS, CALL_WORDS, RUN_CHARS = 300_000, 32, 4_096, 1_000_000
+#: Remembered words, the share of them that may be words with marks, the longest one, ids coded in one call.
+KEPT_WORDS, KEPT_CHARS, CALL_IDS = 300_000, 32, 1 << 19
+#: Key ranges are cut this many times finer than tasks, then joined to tasks of about equal numbers of ids.
+FINER = 8
+#: Letters below this code point are in normal form and have lower-case letters of their own.
+LATIN = "\u0250"
 
 
-class WordIds:
-    """Ids of texts by the tokenizer library, word by word: its split drops white space and no rule looks across it.
+def id_type(wide: bool) -> str:
+    """Ids are held in 16 bits, or 32 where the vocabulary needs more."""
+    return "<u4" if wide else "<u2"
 
-    The words that a run of texts brings anew go to the library together. Up to KEPT_WORDS words of at most KEPT_CHARS
-    characters (some 50 MB) are remembered for later runs."""
+
+class WordIds(dict):
+    """Ids of words as the tokenizer library gives them, word by word: its split drops white space and no rule looks across
+    it. A word is letters and the marks behind them, which are two pieces; the letters go straight to the library's model,
+    everything else through all of the library. Up to KEPT_WORDS words of at most KEPT_CHARS characters (some 50 MB) are
+    remembered, bare words first; the words met first are the frequent ones."""
 
     def __init__(self, path: str, end: int | None):
         import re
+        super().__init__()
         self.tok = library(path)
+        self.wide = self.tok.get_vocab_size() > 1 << 16
+        self.kind = id_type(self.wide)
+        self.pieces = self.tok.model.tokenize
         self.words = re.compile(f"[^{WHITE}]+")
-        self.memory: dict[str, bytes] = {}
-        self.end = b"" if end is None else np.array([end], "<u2").tobytes()
-        if self.tok.get_vocab_size() > 1 << 16:
-            raise ValueError("Ids are held in 16 bits")
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        found = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        flat = np.array(found.ids, "<u2").tobytes()
-        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))).tolist()
-        return [flat[2 * a:2 * b] for a, b in zip([0, *ends], ends)]
-
-    @staticmethod
-    def cut(word: str) -> tuple[str, str]:
-        """Letters and the marks behind them, which are two pieces; else the whole word. Letters must stay letters when
-        normalised, or a mark comes to stand at their end and joins the marks behind."""
+        self.end = b"" if end is None else np.array([end], self.kind).tobytes()
+        # The library spells bytes that are no visible characters by characters from 256 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelt = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("I" if self.wide else "H", ids).tobytes()   # As machines of little-endian order hold them
+
+    def __missing__(self, word: str) -> bytes:
         core = word.rstrip(MARKS)
-        if core.isascii() and core.isalpha():
-            return core.lower(), word[len(core):]
-        if core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():
-            return core, word[len(core):]
-        return word, ""
-
-    def learn(self, words: set[str]) -> None:
-        cuts = [(w, *self.cut(w)) for w in words]
-        pieces = list({x for _, core, marks in cuts for x in (core, marks) if x} - self.memory.keys())
-        for s in range(0, len(pieces), CALL_WORDS):
-            part = pieces[s:s + CALL_WORDS]
-            self.memory.update(zip(part, self.encode(part)))
-        for word, core, marks in cuts:
-            self.memory[word] = self.memory[core] + self.memory[marks] if marks else self.memory[core]
-
-    def split(self, text: str) -> list[str]:
-        return self.words.findall(text) if any(c in text for c in SEPARATORS) else text.split()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        out, run, chars = [], [], 0
-        for k, text in enumerate(texts, 1):
-            run.append(self.split(text))
-            chars += len(text)
-            if chars > RUN_CHARS or k == len(texts):
-                new = set().union(*run) - self.memory.keys()
-                self.learn(new)
-                out += [b"".join(map(self.memory.__getitem__, words)) + self.end for words in run]
-                for word in new:
-                    if len(word) > KEPT_CHARS:
-                        del self.memory[word]
-                while len(self.memory) > KEPT_WORDS:   # The words met first are the frequent ones
-                    self.memory.popitem()
-                run, chars = [], 0
-        return out
+        low = core.lower()
+        # In lower case, a letter may be a letter and a mark, which joins the marks behind it
+        if not (low.isascii() or max(core) < LATIN) or not low.isalpha():
+            value = self.packed(self.tok.encode(word, add_special_tokens=False).ids)
+        elif len(core) < len(word):
+            value = self[low] + self.marks(word[len(core):])
+            if len(self) > KEPT_WORDS // 2:
+                return value
+        elif low != word:
+            value = self[low]
+        else:
+            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.spelt)
+            value = self.packed([t.id for t in self.pieces(spelt)])
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_CHARS:
+            self[word] = value
+        return value
+
+    def marks(self, marks: str) -> bytes:
+        if marks not in self:   # Never taken for a word: its first character is no letter
+            value = self.packed(self.tok.encode(marks, add_special_tokens=False).ids)
+            if len(self) >= KEPT_WORDS or len(marks) > KEPT_CHARS:
+                return value
+            self[marks] = value
+        return self[marks]
+
+    def text(self, text: str) -> bytes:
+        words = self.words.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+        return b"".join(map(self.__getitem__, words)) + self.end
 
 
 @lru_cache(maxsize=4)
@@ -92,22 +94,32 @@ def word_ids(path: str, end: int | None) -> WordIds:
 
 
 def encode_words(docs: DataFrame, path: str, end: int | None = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens and ids (16-bit little endian) of every row; null texts hold the end id only."""
+    """key, n_tokens and ids (little endian, 16 bits, or 32 for vocabularies above 65,536) of every row; null texts hold the
+    end id only."""
     def run(batches):
         w = word_ids(path, end)
+        size = 4 if w.wide else 2
         for b in batches:
-            out = w.texts([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
+            out = [w.text(t.as_py() or "") for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-def id_counts(rows: DataFrame, ids: str = "ids") -> DataFrame:
+def is_wide(path: str) -> bool:
+    return library(path).get_vocab_size() > 1 << 16
+
+
+def id_counts(rows: DataFrame, ids: str = "ids", wide: bool = False) -> DataFrame:
     """id and n over the whole table; each task reports an id once."""
+    kind = id_type(wide)
+
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+            for x in b.column(0):
+                n = np.bincount(np.frombuffer(x.as_py(), kind), minlength=len(total))
+                total = n + (np.pad(total, (0, len(n) - len(total))) if len(n) > len(total) else total)
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
@@ -147,30 +159,40 @@ class Code:
     """Canonical code: ids sorted by (length, id) take consecutive code words."""
     ids: np.ndarray
     lengths: np.ndarray
+    wide: bool = False
 
     def __post_init__(self):
         order = np.lexsort((self.ids, self.lengths))
         self.ids, self.lengths = self.ids[order], self.lengths[order]
         span = np.left_shift(1, LONGEST - self.lengths)
         first = np.cumsum(span) - span
-        self.code_of, self.bits_of = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        most = max(int(self.ids.max(initial=0)) + 1, 1 << 16)
+        self.code_of, self.bits_of = np.zeros(most, np.uint32), np.zeros(most, np.int64)
         self.code_of[self.ids] = first >> (LONGEST - self.lengths)
         self.bits_of[self.ids] = self.lengths
-        self.id_at, self.bits_at = np.zeros(1 << LONGEST, np.uint16), np.ones(1 << LONGEST, np.uint8)
+        self.kind = id_type(self.wide)
+        self.id_at, self.bits_at = np.zeros(1 << LONGEST, self.kind), np.ones(1 << LONGEST, np.uint8)
         total = int(span.sum())
         self.id_at[:total], self.bits_at[:total] = np.repeat(self.ids, span), np.repeat(self.lengths, span)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bit stream and the bit offset of every STEP-th id."""
+    def encode(self, ids: np.ndarray, n: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """For consecutive documents of n ids each: the bit stream and the bit offset of every STEP-th id. Every document
+        begins with a byte of its own."""
         bits = self.bits_of[ids]
         ends = np.cumsum(bits)
-        at = ends - bits
-        size = (int(ends[-1]) + 7) // 8 if len(ids) else 0
+        last = np.cumsum(n)
+        before = np.concatenate([[0], ends])[last - n]
+        sizes = (np.concatenate([[0], ends])[last] - before + 7) // 8
+        byte_ends = np.cumsum(sizes)
+        local = ends - bits - np.repeat(before, n)   # Bit offset inside the document
+        at = local + 8 * np.repeat(byte_ends - sizes, n)
         word = self.code_of[ids].astype(np.int64) << (32 - bits - (at & 7))
-        byte, out = at >> 3, np.zeros(size + 4)
+        byte, total = at >> 3, int(byte_ends[-1]) + 4 if len(n) else 4
+        out = np.zeros(total)
         for k in range(4):   # Code words never overlap, so adding is setting bits
-            out += np.bincount(byte + k, weights=(word >> (24 - 8 * k)) & 255, minlength=size + 4)[:size + 4]
-        return out[:size].astype(np.uint8).tobytes(), at[::STEP]
+            out += np.bincount(byte + k, weights=(word >> (24 - 8 * k)) & 255, minlength=total)[:total]
+        stream = out.astype(np.uint8).tobytes()
+        return [(stream[e - z:e], local[l - k:l:STEP]) for e, z, l, k in zip(byte_ends.tolist(), sizes.tolist(), last.tolist(), n.tolist())]
 
     def decode(self, stream: bytes, n: np.ndarray, checkpoints: np.ndarray) -> np.ndarray:
         """The ids of consecutive documents of n ids each. All stretches between checkpoints advance side by side: one table
@@ -180,7 +202,7 @@ class Code:
         b = np.frombuffer(stream + bytes(4), np.uint8).astype(np.int64)
         word, last = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], len(b) - 4
         at = checkpoints.copy()
-        out = np.zeros((STEP, len(at)), np.uint16)
+        out = np.zeros((STEP, len(at)), self.kind)
         for k in range(min(STEP, int(left.max(initial=0)))):
             code = word[np.minimum(at >> 3, last)] >> (32 - LONGEST - (at & 7)) & ((1 << LONGEST) - 1)
             out[k] = self.id_at[code]
@@ -188,10 +210,22 @@ class Code:
         return out.T[np.arange(STEP)[None, :] < left[:, None]]
 
 
-def _bounds(rows: DataFrame, key: str, parts: int) -> list[float]:
-    """Keys that cut the table into about equal parts."""
-    cuts = rows.where(F.col(key).isNotNull()).approxQuantile(key, [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    return sorted(set(cuts))
+def _bounds(rows: DataFrame, key: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that cut the rows with a key into about equal parts, and numbers of ids that cut those without one."""
+    ways = [k / parts for k in range(1, parts)]
+    cut = lambda df, c: np.array(sorted(set(df.approxQuantile(c, ways, 0.25 / parts))) if ways else [], np.float64)
+    return cut(rows.where(F.col(key).isNotNull()), key), cut(rows.where(F.col(key).isNull()), "n_tokens")
+
+
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """Integers that Spark's hash partitioning deals to partitions 0..n-1 of n."""
+    found: dict[int, int] = {}
+    size = 8 * n
+    while len(found) < n:
+        for r in spark.range(size).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("i").alias("i")).collect():
+            found[r["p"]] = r["i"]
+        size *= 4
+    return [found[p] for p in range(n)]
 
 
 BLOCK = pa.schema([("first_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())),
@@ -199,36 +233,48 @@ BLOCK = pa.schema([("first_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("n
 BLOCK_SCHEMA = "first_id long, keys array<long>, n_tokens array<long>, bytes array<long>, checkpoints array<long>, bits binary"
 
 
-def write(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write key (long), n_tokens and ids (16-bit) as a file set under path in ascending key order, nulls first. Repeated
-    keys are kept, ordered by length and content. The driver holds the code (an entry per id of the vocabulary) and a number
-    per key range, as many as there are shuffle partitions. Documents are coded before the shuffle, which moves bits only."""
+def write(rows: DataFrame, path: str, key: str = "doc_id", wide: bool = False) -> None:
+    """Write key (long), n_tokens and ids (16-bit little endian; 32-bit if wide) as a file set under path in ascending key
+    order, nulls first. Repeated keys and null keys are kept, ordered by length and content. The driver holds the code (an
+    entry per id of the vocabulary) and a number per key range, FINER times as many as there are shuffle partitions. Documents
+    are coded before the shuffle, which moves bits only; tasks get about equal numbers of ids, one task a partition."""
     spark = rows.sparkSession
-    counts = id_counts(rows).toPandas()
+    counts = id_counts(rows, wide=wide).toPandas()
     ids, lengths = counts["id"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64))
-    spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id int, length int").coalesce(1).write.parquet(f"{path}/code")
-    bounds = _bounds(rows, key, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = np.array(bounds, np.float64)
-
-    def part_of(keys: pa.Array) -> np.ndarray:
-        found = np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-        found[keys.is_null().to_numpy(zero_copy_only=False)] = -1
+    spark.createDataFrame([(*x, wide) for x in zip(ids.tolist(), lengths.tolist())], "id int, length int, wide boolean").coalesce(1).write.parquet(f"{path}/code")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts, null_cuts = _bounds(rows, key, FINER * tasks)
+
+    def range_of(keys: pa.Array, n: pa.Array) -> np.ndarray:
+        """Number of the key range, in the order of the file set."""
+        found = len(null_cuts) + 1 + np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        none = keys.is_null().to_numpy(zero_copy_only=False)
+        found[none] = np.searchsorted(null_cuts, n.to_numpy(zero_copy_only=False)[none], side="right")
         return found
 
-    def parts(batches):
+    def ranges(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0))), b.column(1)], names=["part", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(*b.columns).astype(np.int32)), b.column(1)], names=["range", "n_tokens"])
 
-    totals = {r.part: r.n for r in rows.select(key, "n_tokens").mapInArrow(parts, "part int, n_tokens long").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    starts, sofar = {}, 0
-    for p in sorted(totals):
-        starts[p], sofar = sofar, sofar + totals[p]
+    totals = np.zeros(len(cuts) + len(null_cuts) + 2, np.int64)
+    for r in rows.select(key, "n_tokens").mapInArrow(ranges, "range int, n_tokens long").groupBy("range").agg(F.sum("n_tokens").alias("n")).collect():
+        totals[r["range"]] = r["n"]
+    before = np.cumsum(totals) - totals
+    group = np.minimum((2 * before + totals) * tasks // max(1, 2 * int(totals.sum())), tasks - 1)   # Task of a range, by its middle
+    slots = _slots(spark, tasks)
+    place = np.array(slots, np.int64)[group]
+    starts = {slots[g]: int(before[group == g][0]) for g in set(group.tolist())}
 
     def pack(batches):
-        code = canonical(ids.tobytes(), lengths.tobytes())
+        code, kind = canonical(ids.tobytes(), lengths.tobytes(), wide), id_type(wide)
         for b in batches:
-            coded = [code.encode(np.frombuffer(x.as_py(), "<u2")) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0))), *b.columns[:2], pa.array([x for x, _ in coded], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in coded], pa.binary())],
+            n = b.column(1).to_numpy()
+            coded, at = [], 0
+            while at < len(n):   # As many documents as hold CALL_IDS ids together, one at least
+                to = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), CALL_IDS, side="right")))
+                coded += code.encode(np.frombuffer(b"".join(b.column(2).slice(at, to - at).to_pylist()), kind), n[at:to])
+                at = to
+            yield pa.RecordBatch.from_arrays([pa.array(place[range_of(*b.columns[:2])].astype(np.int32)), *b.columns[:2], pa.array([x for x, _ in coded], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in coded], pa.binary())],
                                              names=["part", key, "n_tokens", "bits", "points"])
 
     def blocks(batches):
@@ -254,38 +300,40 @@ def write(rows: DataFrame, path: str, key: str = "doc_id") -> None:
             yield flush()
 
     coded = rows.select(key, "n_tokens", "ids").mapInArrow(pack, f"part int, `{key}` long, n_tokens long, bits binary, points binary")
-    ordered = coded.repartition("part").sortWithinPartitions("part", key, "n_tokens", "bits")
+    ordered = coded.repartition(tasks, "part").sortWithinPartitions("part", key, "n_tokens", "bits")
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 @lru_cache(maxsize=2)
-def canonical(ids: bytes, lengths: bytes) -> Code:
-    return Code(np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64))
+def canonical(ids: bytes, lengths: bytes, wide: bool) -> Code:
+    return Code(np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64), wide)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Every document of a file set: key, start (ids of all documents before it), n_tokens, ids (16-bit little endian)."""
+    """Every document of a file set: key, start (ids of all documents before it), n_tokens, ids (as they were written)."""
     book = spark.read.parquet(f"{path}/code").toPandas()
-    ids, lengths = book["id"].to_numpy(np.int64).tobytes(), book["length"].to_numpy(np.int64).tobytes()
+    ids, lengths, wide = book["id"].to_numpy(np.int64).tobytes(), book["length"].to_numpy(np.int64).tobytes(), bool(book["wide"].any())
 
     def run(batches):
-        code = canonical(ids, lengths)
+        code = canonical(ids, lengths, wide)
         for b in batches:
             for row in b.to_pylist():
                 n = np.array(row["n_tokens"], np.int64)
                 flat = code.decode(row["bits"], n, np.array(row["checkpoints"], np.int64))
                 ends = np.cumsum(n)
-                out = [flat[e - k:e].astype("<u2").tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+                out = [flat[e - k:e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), pa.array(row["first_id"] + ends - n), pa.array(n), pa.array(out, pa.binary())], names=[key, "start", "n_tokens", "ids"])
 
     return spark.read.parquet(f"{path}/blocks").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids binary")
 
 
-def checksums(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def checksums(rows: DataFrame, key: str = "doc_id", wide: bool = False) -> DataFrame:
     """key, start, n_tokens and the unsigned CRC-32 of the ids as little-endian 32-bit integers."""
+    kind = id_type(wide)
+
     def run(batches):
         for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x.as_py(), "<u2").astype("<u4").tobytes()) for x in b.column(3)]
+            crc = [zlib.crc32(np.frombuffer(x.as_py(), kind).astype("<u4").tobytes()) for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
     return rows.select(key, "start", "n_tokens", "ids").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")

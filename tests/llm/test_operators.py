@@ -255,6 +255,37 @@ def test_word_ids_equal_the_library(monkeypatch):
         monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
         words = tokens.WordIds(path, 2)
         for _ in range(2):
-            for text, ids in zip(texts, words.texts(texts)):
-                assert np.frombuffer(ids, "<u2").tolist() == words.tok.encode(text, add_special_tokens=False).ids + [2]
-            assert len(words.memory) <= kept
+            for text in texts:
+                assert np.frombuffer(words.text(text), words.kind).tolist() == words.tok.encode(text, add_special_tokens=False).ids + [2]
+            assert len(words) <= kept
+
+
+def test_words_of_latin_letters_equal_the_library():
+    words = tokens.WordIds(P.path("word_bpe_49k.json"), None)
+    r = random.Random(1)
+    chars = [chr(c) for c in range(33, 0x260)] + list("Σσς\u0301—𝐀")
+    for _ in range(5000):
+        w = "".join(r.choices(chars, k=r.randrange(1, 6)))
+        if not w.isspace():
+            assert np.frombuffer(words.text(w), words.kind).tolist() == words.tok.encode(w, add_special_tokens=False).ids, w
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_token_files_of_any_ids_keys_and_lengths(spark, wide):
+    """Null and repeated keys, documents without ids, ids above 16 bits, one document beyond a coding call; an empty table."""
+    r = np.random.default_rng(4)
+    top = 200_000 if wide else 60_000
+    docs = [(None if k % 7 == 0 else k // 2, (r.geometric(0.001, size=n) * 17) % top) for k, n in enumerate([0, 1, 127, 128, 129, 700_000, 5, 0, 3000, 300, 300, 64] * 5)]
+    kind = tokens.id_type(wide)
+    rows = spark.createDataFrame([(k, len(x), x.astype(kind).tobytes()) for k, x in docs], "doc_id long, n_tokens long, ids binary").repartition(3)
+    path = scratch_path(spark, "tokens")
+    tokens.write(rows, path, wide=wide)
+    got = tokens.read(spark, path).orderBy("start", "n_tokens").collect()
+    want = collections.Counter((k, x.astype(kind).tobytes()) for k, x in docs)
+    assert collections.Counter((g.doc_id, bytes(g.ids)) for g in got) == want
+    starts = np.cumsum([0] + [g.n_tokens for g in got])
+    keys = [-1 if g.doc_id is None else g.doc_id for g in got if g.n_tokens]
+    assert [g.start for g in got] == starts[:-1].tolist() and keys == sorted(keys)
+    empty = scratch_path(spark, "tokens")
+    tokens.write(rows.limit(0), empty, wide=wide)
+    assert tokens.checksums(tokens.read(spark, empty), wide=wide).count() == 0
