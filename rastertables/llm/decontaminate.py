@@ -3,7 +3,8 @@
 A window of SPAN words is hashed once per mask; a mask ignores the positions it does not list. The three masks split the
 window's positions between them, so two substituted words can spoil two masks at most and the third still hits: every
 window of a document that equals a window of a benchmark item in at least SPAN - 2 positions is found. Each hit is then
-verified position by position. Words are compared in lower case, as 64-bit hashes."""
+verified position by position. Items too short for a window are looked for as a whole, without substitutions. Words are
+compared in lower case, as 64-bit hashes."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,10 @@ from .common import spark_words
 SPAN = 13
 MASKS = ((0, 3, 6, 9, 12), (1, 4, 7, 10), (2, 5, 8, 11))
 SUBSTITUTIONS = 2
-SEED_ROWS = 2_000_000
+#: Items of fewer words than SPAN, but this many at least, are found as a whole.
+SHORTEST = 5
+#: Benchmark rows of some 200 bytes each that are broadcast at most (50 MB).
+SEED_ROWS = 250_000
 
 
 def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,22 +38,39 @@ def _seeds(d: DataFrame, span: int, masks) -> DataFrame:
     return exploded.withColumn("at", (F.col("_pos") / n).cast("int")).drop("_pos")
 
 
+def _joined(rows: DataFrame, bench: DataFrame, on: list[str], window) -> DataFrame:
+    """rows with h and at meet bench; w is the window of the row. Short benchmarks are broadcast; else both sides are shuffled,
+    and rows carry their window only, not the whole text."""
+    if bench.count() <= SEED_ROWS:
+        return rows.join(F.broadcast(bench), on).withColumn("w", window)
+    return rows.withColumn("w", window).drop("h").join(bench, on)
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text", substitutions: int = SUBSTITUTIONS) -> DataFrame:
-    """Verified windows: key, item, doc_at, item_at, equal (positions alike, SPAN - substitutions at least).
+    """Verified windows: key, item, doc_at, item_at, equal (positions alike, SPAN - substitutions at least), span (words of
+    the window: SPAN, or the whole item of SHORTEST to SPAN - 1 words).
 
-    Null, empty and short texts (fewer than SPAN words) match nothing. `substitutions` up to 2 lose nothing. The seeds of
-    the test set are counted first; only up to SEED_ROWS of them are broadcast, beyond that Spark shuffles both sides."""
+    Null and empty texts and items of fewer than SHORTEST words match nothing. `substitutions` up to 2 lose nothing. The
+    seeds of the test set are counted first; only up to SEED_ROWS of them are broadcast, beyond that Spark shuffles windows
+    of SPAN words on both sides, whatever the length of a text."""
     if not 0 <= substitutions < len(MASKS):
         raise ValueError(f"The masks tolerate 0 to {len(MASKS) - 1} substitutions")
-    bench = _seeds(_hashed(items, item, item_text).withColumnRenamed(item, "_item"), SPAN, MASKS)
-    bench = bench.select("_item", F.col("at").alias("item_at"), F.slice(F.col("h"), F.col("at") + 1, SPAN).alias("item_h"), "seed").where("seed IS NOT NULL").distinct()
-    if bench.count() <= SEED_ROWS:
-        bench = F.broadcast(bench)
-    hits = _seeds(_hashed(docs, key, text), SPAN, MASKS).join(bench, "seed")
-    h, g = F.col("h"), F.col("item_h")
-    equal = sum((F.get(h, F.col("at") + k) == F.get(g, F.lit(k))).cast("int") for k in range(SPAN))
-    return (hits.select(key, F.col("_item").alias(item), F.col("at").alias("doc_at"), "item_at", equal.alias("equal"))
-            .where(F.col("equal") >= SPAN - substitutions))
+    hashed = _hashed(items, item, item_text).withColumnRenamed(item, "_item")
+    bench = _seeds(hashed, SPAN, MASKS).select("_item", F.col("at").alias("item_at"), F.slice(F.col("h"), F.col("at") + 1, SPAN).alias("item_h"), "seed").where("seed IS NOT NULL").distinct()
+    texts = _hashed(docs, key, text)
+    hits = _joined(_seeds(texts, SPAN, MASKS), bench, ["seed"], F.slice(F.col("h"), F.col("at") + 1, SPAN))
+    equal = sum((F.get("w", F.lit(k)) == F.get("item_h", F.lit(k))).cast("int") for k in range(SPAN))
+    long = hits.select(key, F.col("_item").alias(item), F.col("at").alias("doc_at"), "item_at", equal.alias("equal"), F.lit(SPAN).alias("span")).where(F.col("equal") >= SPAN - substitutions)
+    short = hashed.where(F.size("h").between(SHORTEST, SPAN - 1)).select("_item", F.col("h").alias("item_h"), F.size("h").alias("span"), F.xxhash64("h").alias("seed")).distinct()
+    spans = sorted(r["span"] for r in short.select("span").distinct().collect())   # SPAN - SHORTEST numbers at most
+    if not spans:
+        return long
+    windows = F.flatten(F.transform(F.array(*[F.lit(n) for n in spans]), lambda n: F.when(F.size("h") >= n, F.transform(
+        F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(n.alias("span"), i.alias("at"), F.xxhash64(F.slice("h", i + 1, n)).alias("seed")))).otherwise(
+            F.array().cast("array<struct<span:int,at:int,seed:bigint>>"))))
+    rows = texts.withColumn("_w", windows).select(key, "h", F.explode("_w").alias("_w")).select(key, "h", "_w.*")
+    whole = _joined(rows, short, ["span", "seed"], F.slice(F.col("h"), F.col("at") + 1, F.col("span"))).where("w = item_h")
+    return long.unionAll(whole.select(key, F.col("_item").alias(item), F.col("at").alias("doc_at"), F.lit(0).alias("item_at"), F.col("span").alias("equal"), "span"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", **how) -> DataFrame:
@@ -58,7 +79,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: s
     m = matches(docs, items, key, item, **how)
     return m.groupBy(key, item).agg(
         F.countDistinct("doc_at", "item_at").alias("n_windows"), F.max("equal").cast("long").alias("best_equal"),
-        F.min("doc_at").cast("long").alias("first_word"), (F.max("doc_at") + SPAN - 1).cast("long").alias("last_word"))
+        F.min("doc_at").cast("long").alias("first_word"), F.max(F.col("doc_at") + F.col("span") - 1).cast("long").alias("last_word"))
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:

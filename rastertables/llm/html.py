@@ -22,6 +22,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+WALLS = frozenset("table ul ol dl td th article body select".split())   # An end tag may be implied up to these
 BREAKS = frozenset(("br", "hr", "img"))
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset(("article", "main"))
@@ -44,26 +45,33 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, ())]
         self.open = [("#root", 0)]   # Open elements: tag and the block node its text belongs to
+        self.places: dict[str, list[int]] = {}   # Where a tag stands among the open elements
+        self.blocks = [0]   # Where block elements stand among them
         self.links, self.hidden = 0, 0
         self.pieces: list[tuple[int, str | None]] = []
         self.feed(html)
         self.close()
 
     def _pop(self, to: int):
+        block = False
         for tag, _ in self.open[to:]:
             self.links -= tag == "a"
             self.hidden -= tag in HIDDEN
-        if any(tag not in INLINE for tag, _ in self.open[to:]):
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+                block = True
+        if block:
             self.pieces.append((self.open[to - 1][1], None))
         del self.open[to:]
 
+    def _at(self, tags) -> int:
+        """Place of the innermost open element with one of the tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _last(self, tags) -> int:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in tags:
-                return k
-            if self.open[k][0] in ("table", "ul", "ol", "dl", "td", "th", "article", "body", "select") and "p" not in tags:
-                return 0
-        return 0
+        k = self._at(tags)
+        return k if "p" in tags or k > self._at(WALLS.difference(tags)) else 0
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -82,6 +90,9 @@ class Page(HTMLParser):
             self.nodes.append(Node(tag, at, names))
             at = len(self.nodes) - 1
             self.pieces.append((at, None))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append((tag, at))
         self.links += tag == "a"
         self.hidden += tag in HIDDEN
@@ -90,15 +101,12 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)   # A slash closes nothing in HTML but void elements
 
     def handle_endtag(self, tag):
-        if tag in ("br", "p") and not any(t == tag for t, _ in self.open):
-            self.pieces.append((self.open[-1][1], None))
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
+        k = self._at((tag,))
+        if k:
+            if tag not in INLINE or self.blocks[-1] < k:
                 self._pop(k)
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return
+        elif tag in ("br", "p"):
+            self.pieces.append((self.open[-1][1], None))
 
     def handle_data(self, data):
         if self.hidden:
@@ -197,13 +205,14 @@ class Model:
 
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Count the tables on about sample_pages pages, chosen by a hash of the key. The driver holds FEATURES counts at most."""
+    """Count the tables on about sample_pages pages, chosen by a hash of the key. The driver holds the FEATURES
+    commonest after counts are summed."""
     def run(batches):
         total: Counter = Counter()
         for b in batches:
             for h in b.column(0).to_pylist():
                 total.update(tally(h or ""))
-        top = total.most_common(FEATURES)
+        top = list(total.items())   # As many as the bounded sample has
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["feature", "n"])
 
     step = max(1, pages.count() // sample_pages)

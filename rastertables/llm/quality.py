@@ -52,11 +52,17 @@ def _packed_windows(w: Column, n: Column) -> tuple[Column, Column]:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measurements. Null and blank texts measure 0 everywhere. Columns of the same names are replaced;
-    the text itself is kept. All native: higher-order functions over the words of a row, no shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.drop(*MEASURES, "_w", "_n", "_low", "_s", "_j", "_p", "_lines")
-    d = kept.withColumn("_w", spark_words(F.col(text))).withColumn("_n", F.size("_w"))
+    """docs with the measurements. Null and blank texts measure 0 everywhere. Columns of the same names are replaced; all
+    others stay, whatever their names. All native: higher-order functions over the words of a row, no shuffle."""
+    return _measured(docs, text, MEASURES).select("_doc.*", *MEASURES)
+
+
+def _measured(docs: DataFrame, text: str, replaced) -> DataFrame:
+    """_doc (a struct of the columns of docs but the replaced ones) and the measurements."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in replaced])
+    d = docs.select(packed.alias("_doc"), F.col(text).alias("_text"))
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    d = d.withColumn("_w", spark_words(F.col("_text"))).withColumn("_n", F.size("_w"))
     w, n = F.col("_w"), F.col("_n")
     packed, low = _packed_windows(w, n)
     d = d.withColumn("_low", low)
@@ -78,7 +84,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = d.withColumn("_lines", lines)
     return d.select(
-        *[d[c] for c in kept.columns], n.cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        "_doc", n.cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))).cast("long").alias("n_letter_words"))
@@ -89,10 +95,9 @@ def ledger(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    measured = measure(docs, text).withColumn("failed_bits", bits)
-    rest = [c for c in measured.columns if c not in (*MEASURES, "failed_bits")]
+    measured = _measured(docs, text, (*MEASURES, "failed_bits")).withColumn("failed_bits", bits)
     # One-element explode: conditions on the results stay above it instead of repeating their expressions below
-    return measured.select(*rest, F.explode_outer(F.array(F.struct(*MEASURES, "failed_bits"))).alias("_l")).select(*rest, "_l.*")
+    return measured.select("_doc", F.explode_outer(F.array(F.struct(*MEASURES, "failed_bits"))).alias("_l")).select("_doc.*", "_l.*")
 
 
 def mask(policy: Policy, rules=RULES) -> int:

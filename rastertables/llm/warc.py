@@ -8,12 +8,13 @@ import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import group_least
+from .common import group_least, materialize
 
-SEGMENT, CHUNK, MAX_RECORDS, LEAST_REVISIT, BROADCAST_ROWS = 16_384, 4_096, 1_000, 100, 500_000
+SEGMENT, CHUNK, MAX_RECORDS, LEAST_REVISIT = 16_384, 4_096, 1_000, 100
 _END = b"\r\n\r\n"
 
 
@@ -72,20 +73,19 @@ def records(page: object, row: int, url: str | None, html: str, refers_to: objec
 
 
 def revisits(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """_page, _first: the pages whose payload a page with a smaller key has too, and the least of those."""
+    """_page, _digest, _first: the pages with a payload that a page with a smaller key has too, and the least of those."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     named = pages.where(F.col(key).isNotNull() & (F.octet_length(payload) >= LEAST_REVISIT)).select(F.col(key).alias("_page"), F.sha2(payload, 256).alias("_digest"))
-    return group_least(named, ["_digest"], "_page", "_first").where("_page <> _first").select("_page", "_first").distinct()
+    return group_least(named, ["_digest"], "_page", "_first").where("_page <> _first").distinct()
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write a record per row. Null pages are empty. Of equal payloads of LEAST_REVISIT bytes or more, the rows with the least
-    key are responses, the others revisit it; rows with a null key are responses. Pages move only if there are more than
-    BROADCAST_ROWS revisits."""
-    again = revisits(pages, key, html)
-    if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    rows = pages.select(F.col(key).alias("_page"), F.monotonically_increasing_id().alias("_row"), F.col(url), F.coalesce(F.col(html), F.lit("")).alias("_html")).join(again, "_page", "left")
+    key are responses, the others revisit it; rows with a null key are responses. Keys may repeat: a row is a revisit by its
+    own payload. Pages move only if there are too many revisits for Spark to broadcast them."""
+    again = materialize(revisits(pages, key, html))
+    payload = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.col(key).alias("_page"), F.monotonically_increasing_id().alias("_row"), F.col(url), payload.alias("_html"), F.sha2(payload.cast("binary"), 256).alias("_digest")).join(again, ["_page", "_digest"], "left")
 
     def run(batches):
         for b in batches:
@@ -114,6 +114,18 @@ def parse(archive: bytes):
         at = start + n + 4
 
 
+def unpacked(archive: bytes) -> bytes:
+    """The content of all gzip members of a file: one for the whole file, or one per record."""
+    out = []
+    while archive:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(archive))
+        if not member.eof:
+            raise ValueError("The last gzip member is cut off")
+        archive = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 _PARSED = "page_id long, record_type string, origin string, segment int, total_length long, refers_to long, digest string, block binary"
 
 
@@ -129,7 +141,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for h, block in parse(zlib.decompressobj(47).decompress(content.as_py())):
+                for h, block in parse(unpacked(content.as_py())):
                     refers = h.get("WARC-Refers-To")
                     rows.append((number(h.get("WARC-Page-ID")), h["WARC-Type"], h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")),
                                  number(refers[1:-1].rpartition(":")[2]) if refers else None, h.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, block))
@@ -147,8 +159,8 @@ _OUT = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def assemble(rows: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row per page: size, digest and kind of its payload (and the payload). Whole records are decoded where they are
-    read; only segments are grouped by origin. A missing or repeated segment, a wrong total length or a digest that does not
+    """One row per page: size, digest and kind of its payload (and the payload). Archives are read once: whole records are
+    decoded where they are read, segments are written as they are and then grouped by origin. A missing or repeated segment, a wrong total length or a digest that does not
     fit raises an error."""
     names = [x.split()[0] for x in _OUT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -167,11 +179,15 @@ def assemble(rows: DataFrame, with_payload: bool = False) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    def whole(batches):
+    def opened(batches):
+        """Whole records decoded, segments as they are, in columns of their own."""
         for b in batches:
-            out = [decoded(page, kind, block, refers, digest) for page, kind, _, _, _, refers, digest, block in zip(*(c.to_pylist() for c in b.columns))]
-            if out:
-                yield batch(out)
+            cut = b.column(3).is_valid()
+            rest = b.filter(cut)
+            out = [decoded(page, kind, block, refers, digest) for page, kind, _, _, _, refers, digest, block in zip(*(c.to_pylist() for c in b.filter(pc.invert(cut)).columns))]
+            done = batch(out) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
+            both = [pa.concat_arrays([c, pa.nulls(len(rest), c.type)]) for c in done.columns] + [pa.concat_arrays([pa.nulls(len(done), c.type), c]) for c in rest.columns]
+            yield pa.RecordBatch.from_arrays(both, names=[f"w_{x}" for x in names] + [f"s_{x}" for x in b.schema.names])
 
     def joined(held):
         first = held[0]
@@ -193,5 +209,8 @@ def assemble(rows: DataFrame, with_payload: bool = False) -> DataFrame:
         if held:
             yield joined(held)
 
-    cut = rows.where("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(segments, _OUT)
-    return rows.where("segment IS NULL").mapInArrow(whole, _OUT).unionAll(cut)
+    columns = lambda schema, lead: ", ".join(lead + x for x in schema.split(", "))
+    once = materialize(rows.mapInArrow(opened, f"{columns(_OUT, 'w_')}, {columns(_PARSED, 's_')}"))
+    cut = once.where("s_segment IS NOT NULL").select(*[F.col(f"s_{x}").alias(x) for x in rows.columns])
+    cut = cut.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(segments, _OUT)
+    return once.where("s_segment IS NULL").select(*[F.col(f"w_{x}").alias(x) for x in names]).unionAll(cut)
