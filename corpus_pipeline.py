@@ -24,10 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by links, the one with the smallest doc_id, once."""
+    """Of documents that hang together by links, the one with the smallest doc_id, once. Rows that share a doc_id stay where
+    their texts differ and no smaller doc_id has a near copy."""
     kept = jaccard.join(docs, percent=NEAR_PERCENT, words=NEAR_WORDS).where("component_id = doc_id").select(F.col("doc_id").alias("_id"))
-    one = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionAll(docs.where("doc_id IS NULL"))
+    one = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    marks = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}   # Equal rows without shuffling by whole texts
+    return one.withColumns(marks).dropDuplicates(["doc_id", *marks]).drop(*marks).unionAll(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
