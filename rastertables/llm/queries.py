@@ -121,7 +121,7 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path, vocabulary = scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
     wide = tokens.is_wide(vocabulary)
-    ids = materialize(tokens.encode_words(docs, vocabulary), compression="zstd")
+    ids = materialize(tokens.encode_words(docs, vocabulary))
     tokens.write(ids, path, wide=wide)
     return tokens.checksums(tokens.read(spark, path), wide=wide)
 

@@ -15,20 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .counts import library
 from .pretokens import WHITE
 
 LONGEST, STEP, BLOCK_IDS = 18, 128, 1 << 18
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATORS = "\x1c\x1d\x1e\x1f"   # White space for str.split, not for the tokenizer
-#: Remembered words, the share of them that may be words with marks, the longest one, ids coded in one call.
-KEPT_WORDS, KEPT_CHARS, CALL_IDS = 300_000, 32, 1 << 19
+#: Remembered words, the share of them that may be words with marks, the longest one, ids coded and
+#: documents handled in one call.
+KEPT_WORDS, KEPT_CHARS, CALL_IDS, CALL_ROWS = 300_000, 32, 1 << 19, 500
 #: Key ranges are cut this many times finer than tasks, then joined to tasks of about equal numbers of ids.
 FINER = 8
 #: Letters below this code point are in normal form and have lower-case letters of their own.
 LATIN = "\u0250"
 
 
+@lru_cache(maxsize=4)
+def library(path: str):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 def id_type(wide: bool) -> str:
     """Ids are held in 16 bits, or 32 where the vocabulary needs more."""
     return "<u4" if wide else "<u2"
@@ -100,8 +109,10 @@ def encode_words(docs: DataFrame, path: str, end: int | None = 2, key: str = "do
         w = word_ids(path, end)
         size = 4 if w.wide else 2
         for b in batches:
-            out = [w.text(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
+            for at in range(0, len(b), CALL_ROWS):   # Results leave in small batches, however large those of Spark are
+                part = b.slice(at, CALL_ROWS)
+                out = [w.text(t.as_py() or "") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], names=[key, "n_tokens", "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids binary")
 
@@ -117,8 +128,8 @@ def id_counts(rows: DataFrame, ids: str = "ids", wide: bool = False) -> DataFram
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_py(), kind), minlength=len(total))
+            for at in range(0, len(b), CALL_ROWS):
+                n = np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, CALL_ROWS).to_pylist()), kind), minlength=len(total))
                 total = n + (np.pad(total, (0, len(n) - len(total))) if len(n) > len(total) else total)
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
@@ -268,14 +279,13 @@ def write(rows: DataFrame, path: str, key: str = "doc_id", wide: bool = False) -
     def pack(batches):
         code, kind = canonical(ids.tobytes(), lengths.tobytes(), wide), id_type(wide)
         for b in batches:
-            n = b.column(1).to_numpy()
-            coded, at = [], 0
+            n, at = b.column(1).to_numpy(), 0
             while at < len(n):   # As many documents as hold CALL_IDS ids together, one at least
-                to = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), CALL_IDS, side="right")))
-                coded += code.encode(np.frombuffer(b"".join(b.column(2).slice(at, to - at).to_pylist()), kind), n[at:to])
-                at = to
-            yield pa.RecordBatch.from_arrays([pa.array(place[range_of(*b.columns[:2])].astype(np.int32)), *b.columns[:2], pa.array([x for x, _ in coded], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in coded], pa.binary())],
-                                             names=["part", key, "n_tokens", "bits", "points"])
+                part = b.slice(at, max(1, int(np.searchsorted(np.cumsum(n[at:]), CALL_IDS, side="right"))))
+                coded = code.encode(np.frombuffer(b"".join(part.column(2).to_pylist()), kind), n[at:at + len(part)])
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(place[range_of(*part.columns[:2])].astype(np.int32)), *part.columns[:2], pa.array([x for x, _ in coded], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in coded], pa.binary())],
+                                                 names=["part", key, "n_tokens", "bits", "points"])
 
     def blocks(batches):
         part, start, docs, held = None, 0, [], 0
