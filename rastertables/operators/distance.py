@@ -1,8 +1,8 @@
-"""Exact distances: to masks (separable transform over column strips) and between points (grid levels)."""
+"""Exact distances: to masks (separable transform in linear time over column strips) and between points (grid levels)."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +14,47 @@ from . import runs as R
 STRIP = 64
 
 
+def column_distances(f: np.ndarray, step: float) -> np.ndarray:
+    """For every cell of a column the least f[y'] + (step (y - y'))^2 over its column, infinite where f has no finite cell.
+
+    The lower envelope of parabolas (Felzenszwalb and Huttenlocher 2012) for all columns side by side: a parabola enters and
+    leaves its column's stack once, so the time is proportional to the number of cells."""
+    rows, cols = f.shape
+    w = step * step
+    stack, begins = np.zeros((rows, cols), np.int64), np.full((rows, cols), np.inf)
+    top = np.full(cols, -1)
+    lifted = f + w * np.arange(rows)[:, None] ** 2
+    for q in np.nonzero(np.isfinite(f).any(axis=1))[0].tolist():
+        c = np.nonzero(np.isfinite(f[q]))[0]
+        while len(c):
+            k = top[c]
+            on = stack[k, c]   # Of an empty column this is the last row's place, and is not used
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cross = np.where(k < 0, -np.inf, (lifted[q, c] - lifted[on, c]) / (2 * w * (q - on)))
+            lost = (k >= 0) & (cross <= np.where(k < 0, -np.inf, begins[k, c]))
+            top[c[lost]] -= 1
+            put, k = c[~lost], k[~lost] + 1
+            stack[k, put], begins[k, put], top[put] = q, cross[~lost], k
+            c = c[lost]
+    first = np.zeros((rows, cols), np.int64)   # Which parabola of the stack is least from a row on
+    level, col = np.nonzero(np.arange(rows)[:, None] <= top)
+    start = np.maximum(np.ceil(begins[level, col]), 0)
+    seen = start < rows
+    np.maximum.at(first, (start[seen].astype(np.int64), col[seen]), level[seen])
+    owner = np.take_along_axis(stack, np.maximum.accumulate(first, axis=0), axis=0)
+    out = np.take_along_axis(f, owner, axis=0) + w * (np.arange(rows)[:, None] - owner) ** 2
+    return np.where(top < 0, np.inf, out)
+
+
+
 def distance_to_mask(queries: DataFrame, target: DataFrame, extents: DataFrame, spacing: tuple[float, float] = (1.0, 1.0),
                      keys: list[str] = SLICE) -> DataFrame:
     """Distance of every query pixel (given as runs) to the nearest target pixel of its slice: rows (keys, y, x, dist).
     Slices without target pixels give no rows.
 
     Along a row the nearest target pixel follows from the runs and the gaps between them. Runs and gaps are sent to
-    strips of 64 columns; a strip holds one image height, so its size does not grow with the data."""
+    strips of 64 columns; a strip holds one image height, so its size does not grow with the data, and its time is
+    proportional to its cells."""
     ext = extents.select(*keys, "height", "width").distinct()
     line = Window.partitionBy(*keys, "y").orderBy("x0")
     t = target.select(*keys, "y", "x0", "x1").join(ext, keys).withColumns({"_prev": F.lag("x1").over(line), "_next": F.lead("x0").over(line)})
@@ -38,33 +72,30 @@ def distance_to_mask(queries: DataFrame, target: DataFrame, extents: DataFrame,
     out_schema = T.StructType([parts.schema[k] for k in keys] + [T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("dist", T.DoubleType())])
     sy, sx = float(spacing[0]), float(spacing[1])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = int(pdf["_strip"].iloc[0]) * STRIP
-        rows = int(pdf["height"].iloc[0])
-        ask = pdf[pdf["kind"] == 2]
-        seg = pdf[pdf["kind"] < 2]
+    def solve(table: pa.Table) -> pa.Table:
+        get = {c: table.column(c).to_numpy() for c in ("y", "a", "b", "left", "right", "kind")}
+        base, rows = table.column("_strip")[0].as_py() * STRIP, table.column("height")[0].as_py()
+
+        def cells(which):
+            """Row numbers of the table, once per cell of the strip that the row covers, and the cells' x."""
+            at = np.nonzero(which)[0]
+            a, b = np.maximum(get["a"][at], base), np.minimum(get["b"][at], base + STRIP)
+            n = b - a
+            return np.repeat(at, n), np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+        at, x = cells(get["kind"] < 2)
+        gap = np.where(get["kind"][at] == 0, 0.0, np.fmin(x - get["left"][at], get["right"][at] - x))
         best = np.full((rows, STRIP), np.inf)
-        a, b = np.maximum(seg["a"].to_numpy(int), base), np.minimum(seg["b"].to_numpy(int), base + STRIP)
-        n = b - a
-        x = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        left, right = (np.repeat(seg[c].to_numpy(float), n) for c in ("left", "right"))
-        gap = np.where(np.repeat(seg["kind"].to_numpy(int), n) == 0, 0.0, np.fmin(x - left, right - x))
-        best[np.repeat(seg["y"].to_numpy(int), n), x - base] = (gap * sx) ** 2
-        flat, dy = best.copy(), 1
-        while len(seg) and len(ask) and dy < rows and (dy * sy) ** 2 < best.max():
-            np.minimum(best[dy:], flat[:-dy] + (dy * sy) ** 2, out=best[dy:])
-            np.minimum(best[:-dy], flat[dy:] + (dy * sy) ** 2, out=best[:-dy])
-            dy += 1
-        y = ask["y"].to_numpy(int)
-        a, b = np.maximum(ask["a"].to_numpy(int), base), np.minimum(ask["b"].to_numpy(int), base + STRIP)
-        n = b - a
-        x = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yy = np.repeat(y, n)
-        names = {k: np.full(len(x), pdf[k].iloc[0], dtype=object if isinstance(pdf[k].iloc[0], str) else None) for k in keys}
-        return pd.DataFrame({**names, "y": yy, "x": x, "dist": np.sqrt(best[yy, x - base])})
+        best[get["y"][at], x - base] = (gap * sx) ** 2
+        at, x = cells(get["kind"] == 2)
+        if len(at):
+            best = column_distances(best, sy)
+        y = get["y"][at]
+        out = [pa.repeat(table.column(k)[0], len(x)) for k in keys] + [pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(np.sqrt(best[y, x - base]), pa.float64())]
+        return pa.Table.from_arrays(out, names=[*keys, "y", "x", "dist"])
 
     # Empty strips of a slice whose target lies elsewhere still have gap segments, so only slices without target drop out
-    return parts.groupBy(*keys, "_strip").applyInPandas(solve, out_schema).where(F.col("dist") < float("inf"))
+    return parts.groupBy(*keys, "_strip").applyInArrow(solve, out_schema).where(F.col("dist") < float("inf"))
 
 
 def distance_transform(runs: DataFrame, extents: DataFrame, spacing=(1.0, 1.0), keys: list[str] = SLICE) -> DataFrame:
@@ -77,11 +108,17 @@ def _side(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias(name))
 
 
+def _both_ways(asked: tuple[DataFrame, DataFrame], targets: tuple[DataFrame, DataFrame], extents: DataFrame, spacing, keys: list[str]) -> DataFrame:
+    """Distances from the first asked runs to the first target and from the second to the second, in one pass."""
+    mark = lambda pair: pair[0].select(*keys, "y", "x0", "x1", F.lit(0).alias("_way")).unionByName(pair[1].select(*keys, "y", "x0", "x1", F.lit(1).alias("_way")))
+    ways = extents.select(*keys, "height", "width").distinct().withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1))))
+    return distance_to_mask(mark(asked), mark(targets), ways, spacing, [*keys, "_way"])
+
+
 def hd95(pred: DataFrame, ref: DataFrame, extents: DataFrame, spacing=(1.0, 1.0), keys: list[str] = SLICE) -> DataFrame:
     """95th percentile of the distances from each boundary to the other mask, both directions pooled. Null when a mask
     is empty."""
-    d = materialize(distance_to_mask(R.boundary(pred, keys), ref, extents, spacing, keys).unionByName(
-        distance_to_mask(R.boundary(ref, keys), pred, extents, spacing, keys)))
+    d = materialize(_both_ways((R.boundary(pred, keys), R.boundary(ref, keys)), (ref, pred), extents, spacing, keys))
     q = group_quantiles(d, keys, "dist", {"hd95": 0.95})
     both = _side(pred, "_p", keys).join(_side(ref, "_r", keys), keys).select(*keys)
     return extents.select(*keys).distinct().join(both.join(q, keys), keys, "left")
@@ -90,8 +127,7 @@ def hd95(pred: DataFrame, ref: DataFrame, extents: DataFrame, spacing=(1.0, 1.0)
 def surface_dice(pred: DataFrame, ref: DataFrame, extents: DataFrame, tolerance: float, spacing=(1.0, 1.0), keys: list[str] = SLICE) -> DataFrame:
     """Share of both boundaries within the tolerance of the other boundary; 1 when both masks are empty, 0 when one is."""
     bp, br = materialize(R.boundary(pred, keys)), materialize(R.boundary(ref, keys))
-    near = lambda a, b: distance_to_mask(a, b, extents, spacing, keys).where(F.col("dist") <= tolerance).groupBy(*keys).agg(F.count("*").alias("n"))
-    hits = near(bp, br).unionByName(near(br, bp)).groupBy(*keys).agg(F.sum("n").alias("_n"))
+    hits = _both_ways((bp, br), (br, bp), extents, spacing, keys).where(F.col("dist") <= tolerance).groupBy(*keys).agg(F.count("*").alias("_n"))
     out = (extents.select(*keys).distinct().join(_side(bp, "_p", keys), keys, "left").join(_side(br, "_r", keys), keys, "left")
            .join(hits, keys, "left"))
     value = (F.when(F.col("_p").isNull() & F.col("_r").isNull(), 1.0).when(F.col("_p").isNull() | F.col("_r").isNull(), 0.0)

@@ -99,13 +99,14 @@ def interior(labelled: DataFrame, extents: DataFrame, share: float = 0.1, keys:
     """The most interior pixels of every object: distance to the object's outside at least the value at the top share of
     the sorted distances, and at least 1. Every object is measured against its own complement."""
     by = [*keys, "comp"]
-    frame = extents.select(*keys, (F.col("height") + 2).alias("height"), (F.col("width") + 2).alias("width")).distinct()
-    moved = labelled.select(*by, (F.col("y") + 1).alias("y"), (F.col("x0") + 1).alias("x0"), (F.col("x1") + 1).alias("x1"))
+    # Each object in a frame of its own: the box around it and one cell more, which is where the nearest outside lies
+    box = labelled.groupBy(*by).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x0").alias("_x0"), F.max("x1").alias("_x1"))
+    moved = materialize(labelled.join(box, by).select(*by, (F.col("y") - F.col("_y0") + 1).alias("y"), (F.col("x0") - F.col("_x0") + 1).alias("x0"), (F.col("x1") - F.col("_x0") + 1).alias("x1")))
     # Only the cells around an object can be nearest to it, so its dilation ring stands for the whole complement
     ring = R.difference(R.dilate(moved, R.square(1), None, by), moved, by)
-    ext = moved.select(*by).distinct().join(frame, keys)
-    d = D.distance_to_mask(moved, ring, ext, (1.0, 1.0), by)
-    d = materialize(d.withColumns({"y": F.col("y") - 1, "x": F.col("x") - 1}))
+    ext = box.select(*by, (F.col("_y1") - F.col("_y0") + 3).alias("height"), (F.col("_x1") - F.col("_x0") + 2).alias("width"))
+    d = D.distance_to_mask(moved, ring, ext, (1.0, 1.0), by).join(box.select(*by, "_y0", "_x0"), by)
+    d = materialize(d.withColumns({"y": F.col("y") + F.col("_y0") - 1, "x": F.col("x") + F.col("_x0") - 1}).drop("_y0", "_x0"))
     n = d.groupBy(*by).agg(F.count("*").alias("_n"))
     # vals[int(share * n)] of the falling order is rank n - 1 - int(share * n) of the rising one
     ranked = d.groupBy(*by, "dist").agg(F.count("*").alias("_c")).join(n, by)
