@@ -286,11 +286,14 @@ def region_at(lab: DataFrame, points: DataFrame, height: int, width: int, keys:
 
 def box_positives(cells: DataFrame, boxes: DataFrame, height, width, hg: int, wg: int, share: float = 0.3, most: int = 15, keys: list[str] = SLICE) -> DataFrame:
     """Per box, the 30 % of its cells (at least 1, at most 15) least like the background. cells: keys, gy, gx, value
-    (similarity to the background); boxes: keys, box, y0, x0, y1, x1 in pixels. Boxes are turned into the grid cells
-    they cover, so the join is an equi-join."""
-    cell = lambda v, n, g: F.least(F.greatest((v / n * g).cast("int"), F.lit(0)), F.lit(g - 1))
-    covered = (boxes.withColumn("gy", F.explode(F.sequence(cell(F.col("y0"), height, hg), cell(F.col("y1"), height, hg))))
-               .withColumn("gx", F.explode(F.sequence(cell(F.col("x0"), width, wg), cell(F.col("x1"), width, wg)))))
+    (similarity to the background); boxes: keys, box, y0, x0, y1, x1 in pixels. A box covers the cells from the one its
+    first corner lies in up to, but without, the one its far end reaches, one cell at least. Boxes are turned into the
+    grid cells they cover, so the join is an equi-join."""
+    def span(lo, hi, n, g):
+        a = F.greatest(F.floor(F.col(lo) / n * g).cast("int"), F.lit(0))
+        z = F.least(F.greatest(a + 1, F.ceil(F.col(hi) / n * g).cast("int")), F.lit(g))   # Exclusive
+        return F.when(a < z, F.sequence(a, z - 1))
+    covered = boxes.withColumn("gy", F.explode(span("y0", "y1", height, hg))).withColumn("gx", F.explode(span("x0", "x1", width, wg)))
     counts = covered.groupBy(*keys, "box").agg(F.count("*").alias("_n"))
     take = F.least(F.greatest(F.floor(F.col("_n") * share), F.lit(1)), F.lit(most))
     w = Window.partitionBy(*keys, "box").orderBy("value", "gy", "gx")

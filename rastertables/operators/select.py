@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 
 def outward_order(slices: DataFrame, start: DataFrame, by: list[str] = ["volume_id"]) -> DataFrame:
-    """Processing order that starts at the slice nearest the reference and alternates above and below. start: by + ref_z."""
+    """Processing order that starts at the slice nearest the reference and alternates above and below. start: by + ref_z;
+    groups without a reference slice are processed in plain order."""
     w = Window.partitionBy(*by).orderBy("z")
-    s = slices.select(*by, "z").distinct().withColumn("_i", F.row_number().over(w)).join(start, by)
-    first = s.groupBy(*by).agg(F.min(F.struct(F.abs(F.col("z") - F.col("ref_z")).alias("d"), F.col("_i").alias("i")))["i"].alias("_s"))
-    s = s.join(first, by)
+    s = slices.select(*by, "z").distinct().withColumn("_i", F.row_number().over(w)).join(start.select(*by, "ref_z"), by, "left")
+    gap = F.when(F.col("ref_z").isNotNull(), F.struct(F.abs(F.col("z") - F.col("ref_z")).alias("d"), F.col("_i").alias("i")))
+    s = s.join(s.groupBy(*by).agg(F.min(gap)["i"].alias("_s")), by)
     # Above comes before below at the same distance
-    order = Window.partitionBy(*by).orderBy(F.abs(F.col("_i") - F.col("_s")), F.when(F.col("_i") >= F.col("_s"), 0).otherwise(1))
+    order = Window.partitionBy(*by).orderBy(F.coalesce(F.abs(F.col("_i") - F.col("_s")), F.col("_i")), F.when(F.col("_i") >= F.col("_s"), 0).otherwise(1))
     return s.withColumn("step", F.row_number().over(order)).select(*by, "z", "step")
 
 
@@ -33,17 +34,20 @@ def interleaved_split(items: DataFrame, names: list[str], by: list[str] = ["volu
 
 def reference_picks(slices: DataFrame, extents: DataFrame, n: int, by: list[str] = ["volume_id"]) -> DataFrame:
     """n target slices over the central 80 %, each replaced by the nearest slice with a non-empty reference that no
-    earlier target took. slices: by, z, filled; extents: by, n_z. Targets are served in order, one round per target; a
-    round is one aggregation over all volumes."""
+    earlier target took, among the slices nearest to the target (3, or a twentieth of the stack). slices: by, z, filled;
+    slices it lacks are empty, and count among the nearest all the same. extents: by, n_z."""
     e = extents.select(*by, "n_z")
     last = F.col("n_z") - 1
     lo, hi = F.floor(last * 0.1).cast("int"), F.bround(last * 0.9).cast("int")
     m = F.greatest(F.lit(1), F.least(F.lit(n), hi - lo + 1))
     targets = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.bround(lo + j * (hi - lo) / F.greatest(m - 1, F.lit(1))).cast("int"))))
     reach = F.greatest(F.lit(3), F.floor(F.col("n_z") / 20).cast("int"))
-    cand = slices.join(e.withColumns({"_targets": targets, "_reach": reach}), by).select(*by, "z", "filled", "_reach", F.posexplode("_targets").alias("_k", "_t"))
-    near = Window.partitionBy(*by, "_k").orderBy(F.abs(F.col("z") - F.col("_t")), "z")
-    cand = cand.withColumn("_rank", F.row_number().over(near)).where((F.col("_rank") <= F.col("_reach")) & F.col("filled"))
+    cand = slices.join(e.withColumns({"_targets": targets, "_reach": reach}), by).select(*by, "z", "filled", "n_z", "_reach", F.posexplode("_targets").alias("_k", "_t"))
+    # How many slices of the whole stack are nearer to the target, the lower one first at equal distance
+    d, t = F.abs(F.col("z") - F.col("_t")), F.col("_t")
+    nearer = F.least(F.col("n_z") - 1, t + d - 1) - F.greatest(F.lit(0), t - d + 1) + 1
+    rank = F.greatest(nearer, F.lit(0)) + F.when((F.col("z") > t) & (t - d >= 0), 1).otherwise(0) + 1
+    cand = cand.withColumn("_rank", rank).where((F.col("_rank") <= F.col("_reach")) & F.col("filled"))
     options = cand.groupBy(*by, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "z"))), lambda s: s["z"]).alias("_zs"))
     per = options.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_zs"))), lambda s: s["_zs"]).alias("_all"))
     # Targets are at most n per volume: serve them in order, each taking its first free slice

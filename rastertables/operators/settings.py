@@ -4,12 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Settings with their types, defaults and allowed ranges
+# The settings with their types and defaults
 SETTINGS = {
-    "clip_low": ("double", 1.0, 0.0, 100.0), "clip_high": ("double", 99.5, 0.0, 100.0), "vit_size": ("int", 980, 14, 4200), "layer_from_end": ("int", 1, 1, 12),
-    "neg_weight": ("double", 1.0, 0.0, 5.0), "top_percent": ("double", 20.0, 0.0, 100.0), "manual_threshold": ("double", 0.5, 0.0, 1.0),
-    "threshold_position": ("double", -1.0, -1.0, 1.0), "min_object_um2": ("double", 0.0, 0.0, 1e12), "fill_holes_um2": ("double", 0.0, 0.0, 1e12),
-    "smooth_px": ("int", 0, 0, 50), "shift_passes": ("int", 1, 1, 4), "guided_eps": ("double", 1e-3, 1e-9, 10.0)}
+    "backbone": ("string", "dinov2_s14"), "vit_size": ("int", 980), "layer_from_end": ("int", 1), "neg_weight": ("double", 0.8), "threshold_mode": ("string", "clicks"),
+    "top_percent": ("double", 10.0), "manual_threshold": ("double", 0.5), "min_object_um2": ("double", 0.0), "fill_holes_um2": ("double", 0.0), "smooth_px": ("int", 0),
+    "score_norm": ("string", "robust"), "threshold_position": ("double", -1.0), "edge_refine": ("string", "guided"), "guided_eps": ("double", 0.01), "shift_passes": ("int", 2),
+    "refiner": ("string", ""), "suggest_missed": ("boolean", False), "sam_refine": ("string", "off"), "sam_model": ("string", "sam"), "clip_low": ("double", 1.0), "clip_high": ("double", 99.5)}
+# Words a setting may be, lowest and highest numbers (None: no bound)
+WORDS = {"threshold_mode": ("clicks", "top_percent", "manual"), "score_norm": ("robust", "none"), "edge_refine": ("guided", "none"), "sam_refine": ("off", "agree", "replace"), "sam_model": ("sam", "microsam")}
+RANGES = {"vit_size": (14, 4200), "layer_from_end": (1, 40), "neg_weight": (0, 10), "top_percent": (0, 100), "manual_threshold": (0, None), "min_object_um2": (0, None), "fill_holes_um2": (0, None),
+          "smooth_px": (0, None), "guided_eps": (0, None), "shift_passes": (1, 4), "clip_low": (0, None), "clip_high": (None, 100)}
+ABOVE_ZERO = ("top_percent", "guided_eps")
 
 
 def split_channel(spec: Column, default: int | None = None) -> tuple[Column, Column]:
@@ -25,25 +30,49 @@ def channel_choice(requested: Column, default: Column, colour: Column, n_channel
     return F.when((chosen >= 0) & (chosen < n_channels + colour.isNotNull().cast("int")), chosen)
 
 
+def _typed(text: Column, name: str, kind: str) -> tuple[Column, Column]:
+    """A setting's text in its type (null if it has none) and what is wrong with it."""
+    if kind == "string":
+        return text, F.lit(None).cast("string")
+    if kind == "boolean":
+        word = F.lower(text)
+        value = F.when(word.isin("true", "1"), True).when(word.isin("false", "0"), False)
+        return value, F.when(text.isNotNull() & value.isNull(), F.lit(f"{name} must be true or false"))
+    number = text.try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    if kind == "double":
+        return F.when(finite, number), F.when(text.isNotNull() & ~F.coalesce(finite, F.lit(False)), F.lit(f"{name} must be a finite number"))
+    whole = finite & (number == F.floor(number)) & (F.abs(number) < 2 ** 31)
+    return F.when(whole, number.cast("int")), F.when(text.isNotNull() & ~F.coalesce(whole, F.lit(False)), F.lit(f"{name} must be a whole number"))
+
+
 def coerce_settings(raw: Column) -> tuple[Column, Column]:
-    """Typed struct and list of violations from map<string, string>; unknown keys are ignored, missing ones default,
-    and the old value 'auto' of the position becomes -1."""
-    typed, problems = [], []
-    for name, (kind, default, lo, hi) in SETTINGS.items():
+    """Typed struct and list of violations from map<string, string>. Unknown keys are ignored, missing ones default, and so do
+    values of a wrong type, which are reported; the mode 'otsu' of old settings means 'clicks'. A null map is all defaults."""
+    values, problems = {}, []
+    for name, (kind, default) in SETTINGS.items():
         text = F.try_element_at(raw, F.lit(name))
-        text = F.when(text == "auto", F.lit("-1")).otherwise(text)
-        value = text.try_cast(kind)
-        typed.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
-        problems.append(F.when(text.isNotNull() & value.isNull(), F.lit(f"{name} is not a number")).when((value < lo) | (value > hi), F.lit(f"{name} must be between {lo:g} and {hi:g}")))
-    typed_low, typed_high = typed[0], typed[1]
-    problems.append(F.when(typed_low >= typed_high, F.lit("clip_low must be below clip_high")))
-    return F.struct(*typed), F.filter(F.array(*problems), lambda p: p.isNotNull())
+        if name == "threshold_mode":
+            text = F.when(text == "otsu", F.lit("clicks")).otherwise(text)
+        value, problem = _typed(text, name, kind)
+        values[name] = F.coalesce(value, F.lit(default).cast(kind))
+        problems.append(problem)
+    for name, words in WORDS.items():
+        problems.append(F.when(~values[name].isin(*words), F.concat(F.lit(f"unknown {name} "), values[name])))
+    for name, (low, high) in RANGES.items():
+        v = values[name]
+        bad = (F.lit(False) if low is None else v <= low if name in ABOVE_ZERO else v < low) | (F.lit(False) if high is None else v > high)
+        problems.append(F.when(bad, F.lit(f"{name} is out of range")))
+    position = values["threshold_position"]
+    problems.append(F.when((position != -1) & ~position.between(0, 1), F.lit("threshold_position must be -1 or between 0 and 1")))
+    problems.append(F.when(values["clip_low"] >= values["clip_high"], F.lit("clip_low must be below clip_high")))
+    return F.struct(*[c.alias(n) for n, c in values.items()]), F.filter(F.array(*problems), lambda p: p.isNotNull())
 
 
 def slug(name: Column, most: int = 40) -> Column:
-    """Lower-case id of letters, digits and dashes."""
-    s = F.trim(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(s == "", "unnamed").otherwise(F.substring(s, 1, most))
+    """Lower-case id: letters and digits of any alphabet stay, every other character becomes a dash, dashes at the ends go."""
+    s = F.substring(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "-"), F.lit("-")), 1, most)
+    return F.when(s == "", "profile").otherwise(s)
 
 
 def item_seed(*parts: Column) -> Column:
@@ -78,13 +107,15 @@ def bounds_errors(requests: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def normalise_annotations(saves: DataFrame) -> DataFrame:
-    """Saved points as whole numbers; entries without any point are dropped and names cut to 60 characters.
+    """Saved points as whole numbers. A save without any point is dropped; one that has points keeps all its extra structures,
+    those without points too. Names are cut to 60 characters, colours to 16; null names and colours are empty.
 
     saves: key, pos, neg (array<array<double>>), extra (array<struct<name, color, pos>>)."""
     whole = lambda c: F.transform(c, lambda p: F.transform(p, lambda v: F.bround(v).cast("int")))
-    extra = F.transform("extra", lambda e: F.struct(F.substring(e["name"], 1, 60).alias("name"), e["color"].alias("color"), whole(e["pos"]).alias("pos")))
-    out = saves.withColumns({"pos": whole(F.col("pos")), "neg": whole(F.col("neg")), "extra": F.filter(extra, lambda e: F.size(e["pos"]) > 0)})
-    return out.where((F.size("pos") > 0) | (F.size("neg") > 0) | (F.size("extra") > 0))
+    text = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    extra = F.transform("extra", lambda e: F.struct(text(e["name"], 60).alias("name"), text(e["color"], 16).alias("color"), F.coalesce(whole(e["pos"]), F.array().cast("array<array<int>>")).alias("pos")))
+    out = saves.withColumns({"pos": whole(F.col("pos")), "neg": whole(F.col("neg")), "extra": extra})
+    return out.where((F.size("pos") > 0) | (F.size("neg") > 0) | F.exists("extra", lambda e: F.size(e["pos"]) > 0))
 
 
 def annotation_key(key: Column) -> tuple[Column, Column]:

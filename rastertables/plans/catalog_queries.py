@@ -49,14 +49,27 @@ def a29(spark, sf):
     return K.batch_plan(v, v.where("volume_id % 2 = 0").select("volume_id", (F.col("volume_id") % 6).cast("int").alias("channel")))
 
 
-@query("p9_settings_coercion", """SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 20 ELSE o_custkey % 130 END AS DOUBLE) AS top_percent, CASE WHEN o_orderkey % 5 = 0 THEN -1.0::DOUBLE ELSE 0.5::DOUBLE END AS position,
- CAST((o_orderkey % 4 = 0)::INTEGER + (o_orderkey % 4 <> 0 AND o_custkey % 130 > 100)::INTEGER AS INTEGER) AS n_problems FROM orders""")
+P9_TEXTS = {   # Setting -> its text for an order, as Spark column and as SQL
+    "top_percent": "CASE WHEN o_orderkey % 4 = 0 THEN 'many' WHEN o_orderkey % 4 = 1 THEN 'NaN' ELSE CAST(o_custkey % 130 AS STRING) END",
+    "threshold_position": "CASE WHEN o_orderkey % 5 = 0 THEN '-1' WHEN o_orderkey % 5 = 1 THEN '-0.5' ELSE '0.5' END",
+    "vit_size": "CASE WHEN o_orderkey % 3 = 0 THEN '14.5' WHEN o_orderkey % 3 = 1 THEN '28.0' ELSE '7' END",
+    "threshold_mode": "CASE WHEN o_orderkey % 7 = 0 THEN 'otsu' WHEN o_orderkey % 7 = 1 THEN 'auto' ELSE 'manual' END",
+    "suggest_missed": "CASE WHEN o_orderkey % 6 = 0 THEN 'TRUE' WHEN o_orderkey % 6 = 1 THEN 'yes' ELSE '0' END",
+    "clip_low": "CASE WHEN o_orderkey % 11 = 0 THEN '99.9' ELSE '2' END",
+    "neg_weight": "CASE WHEN o_orderkey % 13 = 0 THEN '7' WHEN o_orderkey % 13 = 1 THEN '11' END",
+}
+
+
+@query("p9_settings_coercion", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN 10.0 ELSE o_custkey % 130 END::DOUBLE AS top_percent, CASE WHEN o_orderkey % 5 = 0 THEN -1.0 WHEN o_orderkey % 5 = 1 THEN -0.5 ELSE 0.5 END::DOUBLE AS position,
+ CASE WHEN o_orderkey % 3 = 0 THEN 980 WHEN o_orderkey % 3 = 1 THEN 28 ELSE 7 END::INTEGER AS vit_size, CASE WHEN o_orderkey % 7 = 0 THEN 'clicks' WHEN o_orderkey % 7 = 1 THEN 'auto' ELSE 'manual' END AS mode,
+ o_orderkey % 6 = 0 AS suggest_missed, CASE WHEN o_orderkey % 13 = 0 THEN 7 WHEN o_orderkey % 13 = 1 THEN 11 ELSE 0.8 END::DOUBLE AS neg_weight, 0.01::DOUBLE AS guided_eps, 2 AS shift_passes,
+ ((o_orderkey % 4 < 2)::INTEGER + (o_orderkey % 4 >= 2 AND o_custkey % 130 NOT BETWEEN 1 AND 100)::INTEGER + (o_orderkey % 5 = 1)::INTEGER + (o_orderkey % 3 <> 1)::INTEGER
+  + (o_orderkey % 7 = 1)::INTEGER + (o_orderkey % 6 = 1)::INTEGER + (o_orderkey % 11 = 0)::INTEGER + (o_orderkey % 13 = 1)::INTEGER)::INTEGER AS n_problems FROM orders""")
 def p9(spark, sf):
-    top = F.when(F.col("o_orderkey") % 4 == 0, F.lit("many")).otherwise((F.col("o_custkey") % 130).cast("string"))
-    raw = F.create_map(F.lit("top_percent"), top, F.lit("unknown"), F.lit("1"), F.lit("threshold_position"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("auto")).otherwise(F.lit("0.5")))
+    raw = F.create_map(F.lit("unknown"), F.lit("1"), *[x for name, text in P9_TEXTS.items() for x in (F.lit(name), F.expr(text))])
     s, problems = S.coerce_settings(F.col("raw"))
     return orders(spark, sf).withColumn("raw", raw).select(F.col("o_orderkey").alias("id"), s.alias("s"), F.size(problems).alias("n_problems")).select(
-        "id", F.col("s.top_percent").alias("top_percent"), F.col("s.threshold_position").alias("position"), "n_problems")
+        "id", "s.top_percent", F.col("s.threshold_position").alias("position"), "s.vit_size", F.col("s.threshold_mode").alias("mode"), "s.suggest_missed", "s.neg_weight", "s.guided_eps", "s.shift_passes", "n_problems")
 
 
 def diamonds(spark, sf):
@@ -112,9 +125,12 @@ def p13(spark, sf):
     return T.nulls_for_non_finite(L.table(spark, sf, "supplier").select("s_suppkey", v.alias("v")))
 
 
-@query("p14_slugs", "SELECT page_id, CASE WHEN s = '' THEN 'unnamed' ELSE substr(s, 1, 40) END AS slug FROM (SELECT page_id, trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM pages)")
+@query("p14_slugs", r"""SELECT page_id, CASE WHEN s = '' THEN 'profile' ELSE s END AS slug, CASE WHEN t = '' THEN 'profile' ELSE t END AS text_slug FROM (
+ SELECT page_id, substr(trim(regexp_replace(lower(url), '[^\p{L}\p{N}]', '-', 'g'), '-'), 1, 40) AS s, substr(trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]', '-', 'g'), '-'), 1, 40) AS t
+ FROM pages JOIN documents ON doc_id = page_id)""")
 def p14(spark, sf):
-    return L.table(spark, sf, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
+    texts = L.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.substring("text", 1, 60).alias("name"))   # Names in several alphabets
+    return L.table(spark, sf, "pages").join(texts, "page_id").select("page_id", S.slug(F.col("url")).alias("slug"), S.slug(F.col("name")).alias("text_slug"))
 
 
 @query("p15_item_seed", "SELECT o_orderkey AS id, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2]) AS BIGINT) AS seed FROM (SELECT o_orderkey, sha256('s' || o_custkey || '_' || o_orderkey || '_blur_2') AS h FROM orders)")
@@ -138,14 +154,20 @@ def p18(spark, sf):
     return L.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), S.z_context_slices(F.col("p_partkey") % 9 * 0.5 + 0.5, F.col("p_size")).alias("d"))
 
 
-@query("p19_normalise_annotations", "SELECT o_custkey AS id, CAST(count(*) FILTER (o_orderkey % 3 = 0) AS INTEGER) AS n_pos, CAST(count(*) FILTER (o_orderkey % 3 = 1) AS INTEGER) AS n_neg, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN round_even(o_orderkey / 4.0, 0) ELSE 0 END) AS BIGINT) AS y_sum FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 3 < 2) > 0")
+@query("p19_normalise_annotations", """SELECT o_custkey AS id, CAST(count(*) FILTER (o_orderkey % 3 = 0) AS INTEGER) AS n_pos, CAST(count(*) FILTER (o_orderkey % 3 = 1) AS INTEGER) AS n_neg,
+ CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN round_even(o_orderkey / 4.0, 0) ELSE 0 END) AS BIGINT) AS y_sum, 2 AS n_extra, CAST(count(*) FILTER (o_orderkey % 5 = 0) AS INTEGER) AS n_first, 0 AS n_second,
+ substr('name of structure ' || repeat(o_custkey::VARCHAR, 20), 1, 60) AS name, 'rgba(120, 130, 1' AS color
+FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 3 < 2 OR o_orderkey % 5 = 0) > 0""")
 def p19(spark, sf):
     pt = F.array((F.col("o_orderkey") / 4), F.lit(1.0))
-    pick = lambda k: F.collect_list(F.when(F.col("o_orderkey") % 3 == k, pt))
-    saves = orders(spark, sf).groupBy(F.col("o_custkey").alias("id")).agg(pick(0).alias("pos"), pick(1).alias("neg"))
-    saves = saves.withColumn("extra", F.expr("cast(array() as array<struct<name:string,color:string,pos:array<array<double>>>>)"))
+    pick = lambda m, k: F.collect_list(F.when(F.col("o_orderkey") % m == k, pt))
+    saves = orders(spark, sf).groupBy(F.col("o_custkey").alias("id")).agg(pick(3, 0).alias("pos"), pick(3, 1).alias("neg"), pick(5, 0).alias("_first"))
+    name = F.concat(F.lit("name of structure "), F.repeat(F.col("id").cast("string"), 20))
+    extra = lambda pos: F.struct(name.alias("name"), F.lit("rgba(120, 130, 140, 1)").alias("color"), pos.alias("pos"))
+    saves = saves.withColumn("extra", F.array(extra(F.col("_first")), extra(F.array().cast("array<array<double>>")))).drop("_first")
     n = S.normalise_annotations(saves)
-    return n.select("id", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"), F.aggregate("pos", F.lit(0).cast("long"), lambda a, p: a + p[0]).alias("y_sum"))
+    return n.select("id", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"), F.aggregate("pos", F.lit(0).cast("long"), lambda a, p: a + p[0]).alias("y_sum"), F.size("extra").alias("n_extra"),
+                    F.size(F.col("extra")[0]["pos"]).alias("n_first"), F.size(F.col("extra")[1]["pos"]).alias("n_second"), F.col("extra")[0]["name"].alias("name"), F.col("extra")[1]["color"].alias("color"))
 
 
 @query("p20_annotation_keys", "SELECT o_orderkey AS id, CAST(o_custkey % 4 AS INTEGER) AS channel, CAST(o_orderkey % 100 AS INTEGER) AS z, CAST(o_custkey % 4 AS INTEGER) AS file_channel, CAST(o_orderkey % 100 AS INTEGER) AS file_z FROM orders")

@@ -439,25 +439,46 @@ def q1_kruskal(spark, sf):
 
 # ---------- picks and orders ----------
 
-@query("w1_outward_order", L.with_views("slices", extra="s AS (SELECT volume_id, z, row_number() OVER (PARTITION BY volume_id ORDER BY z) AS i FROM slices), f AS (SELECT volume_id, i AS s FROM s WHERE z = 4)") + """
-SELECT volume_id, z, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY abs(i - f.s), CASE WHEN i >= f.s THEN 0 ELSE 1 END) AS INTEGER) AS step FROM s JOIN f USING (volume_id)""")
+# Slices that differ by volume: those with an order-heavy cell; the reference of a volume is its number modulo 9, of every fourth none
+HEAVY = "heavy AS (SELECT DISTINCT volume_id, z FROM lattice WHERE q >= 95)"
+REFS = "refs AS (SELECT DISTINCT volume_id, CAST(CAST(substr(volume_id, 2) AS INTEGER) % 9 AS INTEGER) AS ref_z FROM lattice WHERE CAST(substr(volume_id, 2) AS INTEGER) % 4 <> 1)"
+
+
+def heavy_slices(spark, sf):
+    return L.lattice(spark, sf).where("q >= 95").select(*SL).distinct()
+
+
+def reference_slices(spark, sf):
+    n = F.substring("volume_id", 2, 9).cast("int")
+    return L.volumes(spark, sf).where(n % 4 != 1).select("volume_id", (n % 9).alias("ref_z"))
+
+
+@query("w1_outward_order", L.with_views("slices", extra=f"{HEAVY}, {REFS}, s AS (SELECT volume_id, z, row_number() OVER (PARTITION BY volume_id ORDER BY z) AS i FROM heavy), "
+       "f AS (SELECT volume_id, arg_min(i, abs(z - ref_z) * 1000 + i) AS s FROM s JOIN refs USING (volume_id) GROUP BY volume_id)") + """
+SELECT volume_id, z, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY coalesce(abs(i - f.s), i), CASE WHEN i >= f.s THEN 0 ELSE 1 END) AS INTEGER) AS step FROM s LEFT JOIN f USING (volume_id)""")
 def w1(spark, sf):
-    return P.outward_order(L.slices(spark, sf), L.volumes(spark, sf).select("volume_id", F.lit(4).alias("ref_z")))
+    return P.outward_order(heavy_slices(spark, sf), reference_slices(spark, sf))
 
 
-@query("w3_evenly_spaced", L.with_views("slices") + "SELECT volume_id, z FROM slices WHERE z IN (SELECT CAST(round_even(j * 6 / 3.0, 0) AS INTEGER) FROM range(4) t(j))")
+@query("w3_evenly_spaced", L.with_views("slices", extra=f"{HEAVY}, s AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY volume_id) AS n FROM heavy)")
+       + "SELECT volume_id, z FROM s WHERE i IN (SELECT CAST(round_even(j * (n - 1) / greatest(least(4, n) - 1, 1), 0) AS INTEGER) FROM range(4) t(j) WHERE j < least(4, n))")
 def w3(spark, sf):
-    return P.evenly_spaced(L.slices(spark, sf).select(*SL), 4)
+    return P.evenly_spaced(heavy_slices(spark, sf), 4)
 
 
-@query("w4_interleaved_split", L.with_views("slices") + "SELECT volume_id, z, CASE WHEN z % 2 = 0 THEN 'test' ELSE 'dev' END AS split FROM slices")
+@query("w4_interleaved_split", L.with_views("slices", extra=HEAVY) + "SELECT volume_id, z, CASE WHEN row_number() OVER (PARTITION BY volume_id ORDER BY z) % 2 = 1 THEN 'test' ELSE 'dev' END AS split FROM heavy")
 def w4(spark, sf):
-    return P.interleaved_split(L.slices(spark, sf).select(*SL), ["test", "dev"])
+    return P.interleaved_split(heavy_slices(spark, sf), ["test", "dev"])
 
 
-@query("w5_labels_from_reference")
+@query("w5_labels_from_reference", L.with_views("slices", extra=f"""h AS (SELECT DISTINCT volume_id, z FROM lattice WHERE q >= 105),
+t AS (SELECT * FROM (VALUES (1, 0), (2, 2), (3, 5)) t(k, t)), near AS (SELECT k, t, z, row_number() OVER (PARTITION BY k ORDER BY abs(z - t), z) AS r FROM t CROSS JOIN range(7) s(z)),
+o AS (SELECT volume_id, k, list(CAST(near.z AS INTEGER) ORDER BY r) AS zs FROM near JOIN h ON h.z = near.z WHERE r <= 3 GROUP BY ALL),
+v AS (SELECT DISTINCT volume_id FROM o), a AS (SELECT volume_id, (SELECT zs FROM o WHERE o.volume_id = v.volume_id AND k = 1) AS z1, (SELECT zs FROM o WHERE o.volume_id = v.volume_id AND k = 2) AS z2, (SELECT zs FROM o WHERE o.volume_id = v.volume_id AND k = 3) AS z3 FROM v),
+b AS (SELECT *, z1[1] AS p1 FROM a), c AS (SELECT *, list_filter(z2, lambda x: x IS DISTINCT FROM p1)[1] AS p2 FROM b), e AS (SELECT *, list_filter(z3, lambda x: x IS DISTINCT FROM p1 AND x IS DISTINCT FROM p2)[1] AS p3 FROM c)""") + """
+SELECT volume_id, z FROM (SELECT volume_id, unnest([p1, p2, p3]) AS z FROM e) WHERE z IS NOT NULL""")
 def w5(spark, sf):
-    filled = L.lattice(spark, sf).groupBy(*SL).agg((F.sum((F.col("q") >= 120).cast("int")) > 0).alias("filled"))
+    filled = L.lattice(spark, sf).where("q >= 105").select(*SL).distinct().withColumn("filled", F.lit(True))   # Empty slices have no row
     return P.reference_picks(filled, L.volumes(spark, sf), 3)
 
 

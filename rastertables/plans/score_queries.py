@@ -344,7 +344,7 @@ BOXES = """boxes AS (SELECT volume_id, z, y * 100 + x AS box, greatest(y - h, 0)
 
 @query("t18_box_prompts", L.with_views("dense", extra=BOXES) + """
 SELECT volume_id, z, box, gy, gx, rank FROM (SELECT b.volume_id, b.z, b.box, d.y AS gy, d.x AS gx, count(*) OVER (PARTITION BY b.volume_id, b.z, b.box) AS n,
- row_number() OVER (PARTITION BY b.volume_id, b.z, b.box ORDER BY p, d.y, d.x) AS rank FROM boxes b JOIN dense d ON d.volume_id = b.volume_id AND d.z = b.z AND d.y BETWEEN y0 AND y1 AND d.x BETWEEN x0 AND x1)
+ row_number() OVER (PARTITION BY b.volume_id, b.z, b.box ORDER BY p, d.y, d.x) AS rank FROM boxes b JOIN dense d ON d.volume_id = b.volume_id AND d.z = b.z AND d.y >= y0 AND d.y < greatest(y0 + 1, y1) AND d.x >= x0 AND d.x < greatest(x0 + 1, x1))
 WHERE rank <= least(greatest(floor(n * 0.3), 1), 15)""")
 def t18(spark, sf):
     cells = L.plane(spark, sf, "p").withColumnsRenamed({"y": "gy", "x": "gx"})
