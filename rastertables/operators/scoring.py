@@ -134,20 +134,44 @@ def score_map(patches: DataFrame, means: DataFrame, on: list[str], in_size, out_
     return G.guided_filter(both, radius, guided_eps, out_size[0], out_size[1], keys).drop("guide")
 
 
-def choose_thresholds(raw: DataFrame, calibrated: DataFrame, carried: DataFrame | None, keys: list[str] = SLICE) -> DataFrame:
-    """Threshold per slice with its source: points on the slice, else a carried-over value, else Otsu on the map.
-    Also the threshold on the 0..1 scale of the map."""
+def carry_thresholds(here: DataFrame, order: DataFrame, by: list[str] = ["volume_id"]) -> DataFrame:
+    """by, z, threshold: what each slice gets from others. order: by, z, step (the processing order); here: by, z, threshold of
+    slices with points. The last threshold met on the way carries on; slices before the first one take that one. Groups
+    without any give null. A window holds the slices of one stack, not their pixels."""
+    rows = order.select(*by, "z", "step").join(here.select(*by, "z", "threshold"), [*by, "z"], "left")
+    w = Window.partitionBy(*by).orderBy("step")
+    met = F.last("threshold", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.first("threshold", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select(*by, "z", F.coalesce(met, first).alias("threshold"))
+
+
+def choose_thresholds(raw: DataFrame, calibrated: DataFrame, carried: DataFrame | None, keys: list[str] = SLICE, mode: str = "clicks", top_percent: float = 10.0, manual: float = 0.5) -> DataFrame:
+    """Threshold per slice with its source. Mode "clicks": points on the slice, else a carried-over value (a row per slice, or
+    per group of slices), else Otsu on the map. Modes "top_percent" and "manual" look at the map on its 0..1 scale alone.
+    Also the threshold on that scale."""
     span = raw.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
+    if mode != "clicks":
+        flat = F.col("hi") - F.col("lo") < 1e-12
+        if mode == "manual":
+            t = span.withColumn("_t", F.lit(float(manual))).withColumn("_q", F.col("lo") + F.col("_t") * width)
+        elif mode == "top_percent":   # The quantile of the rescaled map is the rescaled quantile
+            t = span.join(group_quantiles(raw, keys, "value", {"_q": (100 - top_percent) / 100}), keys)
+            t = t.withColumn("_t", F.when(flat, 0.0).otherwise((F.col("_q") - F.col("lo")) / width))
+        else:
+            raise ValueError(f"Unknown threshold mode {mode}")
+        return t.select(*keys, F.col("_q").alias("threshold"), F.col("_t").alias("heat_threshold"), F.lit(mode).alias("threshold_source"), "lo", "hi")
     t = span.join(calibrated.select(*keys, F.col("threshold").alias("_here")), keys, "left")
     if carried is not None:
-        t = t.join(carried.select("volume_id", F.col("threshold").alias("_carried")), "volume_id", "left")
+        on = [k for k in keys if k in carried.columns]
+        t = t.join(carried.select(*on, F.col("threshold").alias("_carried")), on, "left")
     else:
         t = t.withColumn("_carried", F.lit(None).cast("double"))
     t = t.join(otsu(raw, keys).withColumnRenamed("threshold", "_otsu"), keys, "left")
-    t = t.withColumn("_otsu", F.coalesce("_otsu", F.col("lo") + F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))))
+    t = t.withColumn("_otsu", F.coalesce("_otsu", F.col("lo") + width))
     raw_thr = F.coalesce("_here", "_carried", "_otsu")
     source = F.when(F.col("_here").isNotNull(), "clicks").when(F.col("_carried").isNotNull(), "carried over").otherwise("otsu (no background clicks)")
-    return t.select(*keys, raw_thr.alias("threshold"), ((raw_thr - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))).alias("heat_threshold"),
+    return t.select(*keys, raw_thr.alias("threshold"), ((raw_thr - F.col("lo")) / width).alias("heat_threshold"),
                     source.alias("threshold_source"), "lo", "hi")
 
 

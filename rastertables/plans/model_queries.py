@@ -7,6 +7,7 @@ from ..operators import grid as G
 from ..operators import learning as ML
 from ..operators import runs as R
 from ..operators import sampling as N
+from ..operators import scoring as SC
 from ..operators import stats as T
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import lattice as L
@@ -283,6 +284,39 @@ def m16(spark, sf):
     return K.run_stack(v, SQ.protos(spark, sf), SQ.points(spark, sf), ext, (10, 10), (side, side), L.VOXEL_UM, 0.8, 5.0, 5.0)["summary"]
 
 
+# Stacks of two slices: every third has points on its first slice, every third on its second, the others none
+STACKS = (L.with_views("patches", extra=SQ.AT.replace(", sampled AS", """, late AS (SELECT volume_id, z, CASE WHEN label = 0 THEN 'pos' ELSE 'neg' END AS polarity, vec_id AS ord, gy * 14 + vec_id % 14 + 0.25 AS y, gx * 14 + vec_id * 5 % 14 + 0.5 AS x
+ FROM patches WHERE label < 4 AND z = CAST(substr(volume_id, 2) AS INTEGER) % 3), sampled AS""").replace("FROM pts p JOIN up u", "FROM late p JOIN up u")
+ + ", span AS (SELECT volume_id, z, min(v) AS mn, max(v) AS mx FROM up GROUP BY 1, 2), heat AS (SELECT volume_id, z, y, x, (v - mn) / (mx - mn) AS v FROM up JOIN span USING (volume_id, z))" + SQ.OTSU
+ + ", chosen AS (SELECT s.volume_id, s.z, coalesce(h.thr, c.thr, mn + o.thr * (mx - mn)) AS thr, mn, mx, CASE WHEN h.thr IS NOT NULL THEN 'clicks' WHEN c.thr IS NOT NULL THEN 'carried over' ELSE 'otsu (no background clicks)' END AS threshold_source"
+ " FROM span s LEFT JOIN cal h USING (volume_id, z) LEFT JOIN cal c ON c.volume_id = s.volume_id LEFT JOIN ho o ON o.volume_id = s.volume_id AND o.z = s.z)").replace("// 500", "// 200").replace("% 500", "% 200"))
+
+
+def short_stacks(spark, sf):
+    v = L.patch_vectors(spark, sf)
+    v = v.withColumns({"volume_id": F.expr("concat('e', cast(vec_id div 200 as string))"), "z": F.expr("cast(vec_id % 200 div 100 as int)")})
+    at = v.where("label < 4").select(*SL, F.when(F.col("label") == 0, "pos").otherwise("neg").alias("polarity"), F.col("vec_id").alias("ord"),
+                                     (F.col("gy") * 14 + F.col("vec_id") % 14 + 0.25).alias("y"), (F.col("gx") * 14 + F.col("vec_id") * 5 % 14 + 0.5).alias("x"))
+    protos = SC.prototypes(v, at.where("z = 0"), SQ.SIDE, SQ.SIDE, 10, 10)
+    return v, protos, at.where(F.col("z") == F.substring("volume_id", 2, 9).cast("int") % 3)
+
+
+@query("m16_stack_slices", STACKS + f"SELECT volume_id, z, {s6('(thr - mn) / (mx - mn)', 'threshold')}, threshold_source, {s6('count(*) FILTER (v >= thr) * 0.25', 'area_um2')}, {s6('count(*) FILTER (v >= thr) / 19600', 'area_fraction')} FROM chosen JOIN up USING (volume_id, z) GROUP BY volume_id, z, thr, mn, mx, threshold_source")
+def m16_slices(spark, sf):
+    v, protos, points = short_stacks(spark, sf)
+    ext = v.select(*SL).distinct().withColumns({"height": F.lit(SQ.SIDE), "width": F.lit(SQ.SIDE)})
+    s = K.run_stack(v, protos, points, ext, (10, 10), (SQ.SIDE, SQ.SIDE), L.VOXEL_UM, 0.8)["slices"]
+    return s.select(*SL, r6(F.col("threshold"), "threshold"), "threshold_source", r6(F.col("area_um2"), "area_um2"), r6(F.col("area_fraction"), "area_fraction"))
+
+
+@query("m16_stack_top_percent", STACKS + f"SELECT volume_id, z, {s6('t', 'threshold')}, {s6('count(*) FILTER (h >= t) * 0.25', 'area_um2')} FROM (SELECT volume_id, z, v AS h FROM heat) JOIN (SELECT volume_id, z, quantile_cont(v, 0.9) AS t FROM heat GROUP BY 1, 2) USING (volume_id, z) GROUP BY volume_id, z, t")
+def m16_top(spark, sf):
+    v, protos, points = short_stacks(spark, sf)
+    ext = v.select(*SL).distinct().withColumns({"height": F.lit(SQ.SIDE), "width": F.lit(SQ.SIDE)})
+    s = K.run_stack(v, protos, points, ext, (10, 10), (SQ.SIDE, SQ.SIDE), L.VOXEL_UM, 0.8, mode="top_percent")["slices"]
+    return s.select(*SL, r6(F.col("threshold"), "threshold"), r6(F.col("area_um2"), "area_um2"))
+
+
 @query("m16_measured_stack", L.with_views("dense") + f"SELECT volume_id, count(*) AS n_slices, {s6('sum(a) * 2', 'volume_um3')}, {s6('avg(a) / 480', 'mean_area_fraction')}, {s6('avg(d)', 'mean_dice_vs_reference')} FROM (SELECT volume_id, z, count(*) FILTER (q >= 30) * 0.25 AS a, 2.0 * count(*) FILTER (q >= 30 AND p >= 35000) / (count(*) FILTER (q >= 30) + count(*) FILTER (p >= 35000)) AS d FROM dense GROUP BY 1, 2) GROUP BY 1")
 def m16_measured(spark, sf):
     p, r = masks(spark, sf)
@@ -290,7 +324,7 @@ def m16_measured(spark, sf):
     return s.select("volume_id", "n_slices", *[r6(F.col(c), c) for c in ("volume_um3", "mean_area_fraction", "mean_dice_vs_reference")])
 
 
-@query("m17_stack_run_structures", L.with_views("dense", extra="l AS (SELECT volume_id, z, CASE WHEN q >= 60 THEN 2 WHEN q >= 40 THEN 1 END AS s FROM dense)") + f"SELECT v.volume_id, CAST(k.k AS INTEGER) AS structure, 7::BIGINT AS n_slices, {s6('count(s) * 0.5', 'volume_um3')} FROM (SELECT DISTINCT volume_id FROM l) v CROSS JOIN (VALUES (1), (2)) k(k) LEFT JOIN l ON l.volume_id = v.volume_id AND l.s = k.k GROUP BY 1, 2")
+@query("m17_stack_run_structures", L.with_views("dense", extra="l AS (SELECT volume_id, z, CASE WHEN q >= 60 THEN 2 WHEN q >= 40 THEN 1 END AS s FROM dense)") + f"SELECT v.volume_id, CAST(k.k AS INTEGER) AS structure, 7::BIGINT AS n_slices, {s6('count(s) * 0.5', 'volume_um3')} FROM (SELECT DISTINCT volume_id FROM l) v CROSS JOIN (VALUES (0), (1), (2)) k(k) LEFT JOIN l ON l.volume_id = v.volume_id AND (l.s = k.k OR k.k = 0 AND l.s IS NOT NULL) GROUP BY 1, 2")
 def m17(spark, sf):
     labels = L.plane(spark, sf).select(*PX, F.when(F.col("value") >= 60, 2).when(F.col("value") >= 40, 1).otherwise(0).alias("label"))
     s = K.run_stack_multi(labels, L.slices(spark, sf), 2, L.VOXEL_UM)["summary"]

@@ -8,26 +8,56 @@ from ..operators import components as C
 from ..operators import measure as M
 from ..operators import runs as R
 from ..operators import scoring as S
+from ..operators import select as P
 from ..session import SLICE, materialize
 
 
-def run_stack(patches: DataFrame, prototypes: DataFrame, points: DataFrame, extents: DataFrame, in_size, out_size, voxel_um=(1.0, 1.0, 1.0), neg_weight: float = 1.0,
-              min_object_um2: float = 0.0, fill_holes_um2: float = 0.0, image: DataFrame | None = None, reference: DataFrame | None = None, roi: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Masks, slice rows, solid objects and stack summaries of every volume. The threshold calibrated on the slices with
-    points carries over to the others, since scores are standardised per slice. extents: one row per processed slice."""
-    um = voxel_um[1:]
+def run_stack(patches: DataFrame, prototypes: DataFrame, points: DataFrame, extents: DataFrame, in_size, out_size, voxel_um=(1.0, 1.0, 1.0), neg_weight: float = 0.8,
+              min_object_um2: float = 0.0, fill_holes_um2: float = 0.0, image: DataFrame | None = None, reference: DataFrame | None = None, roi: DataFrame | None = None,
+              start: DataFrame | None = None, mode: str = "clicks", top_percent: float = 10.0, manual: float = 0.5, position: float = -1.0, robust: bool = True, smooth_px: int = 0,
+              guide: DataFrame | None = None, guided_eps: float = 0.01, profile_thresholds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Masks, slice rows, solid objects and stack summaries of every volume. extents: one row per processed slice.
+
+    In mode "clicks" a slice takes the threshold of its own points, else the one carried along the processing order (start:
+    volume_id, ref_z; plain order without), else the volume's stored one (profile_thresholds: volume_id, threshold), else Otsu.
+    guide: an image whose edges the score map follows, at the radius of one patch. Volumes without a positive example have
+    no scores; their slices come out empty, with the source "no example"."""
     means = S.mean_prototypes(prototypes, ["volume_id"])
-    raw = materialize(S.score_map(patches, means, ["volume_id"], in_size, out_size, neg_weight))
-    here = materialize(S.calibrate_threshold(S.sample_points(raw, points, *out_size), SLICE))
-    carried = here.groupBy("volume_id").agg(F.min_by("threshold", "z").alias("threshold"))
-    span = raw.groupBy(*SLICE).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    thr = span.join(here.select(*SLICE, F.col("threshold").alias("_h")), SLICE, "left").join(carried.withColumnRenamed("threshold", "_c"), "volume_id")
-    thr = thr.select(*SLICE, F.coalesce("_h", "_c").alias("threshold"), ((F.coalesce("_h", "_c") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))).alias("heat_threshold"))
-    masks = C.clean_up(R.encode_runs(S.apply_threshold(raw, thr, SLICE).select(*SLICE, "y", "x")), extents, um, 0, fill_holes_um2, min_object_um2)
+    radius = max(1, round(max(out_size[0] / in_size[0], out_size[1] / in_size[1])))
+    raw = materialize(S.score_map(patches, means, ["volume_id"], in_size, out_size, neg_weight, robust, guide, guided_eps, radius))
+    return segment_stack(raw, points, extents, out_size, voxel_um, min_object_um2, fill_holes_um2, image, reference, roi, start, mode, top_percent, manual, position, smooth_px, profile_thresholds)
+
+
+def segment_stack(raw: DataFrame, points: DataFrame, extents: DataFrame, out_size, voxel_um=(1.0, 1.0, 1.0), min_object_um2: float = 0.0, fill_holes_um2: float = 0.0, image: DataFrame | None = None,
+                  reference: DataFrame | None = None, roi: DataFrame | None = None, start: DataFrame | None = None, mode: str = "clicks", top_percent: float = 10.0, manual: float = 0.5,
+                  position: float = -1.0, smooth_px: int = 0, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """run_stack from score maps (keys, y, x, value), which may be the probabilities of a learned model with its stored
+    threshold."""
+    here = materialize(S.calibrate_threshold(S.sample_points(raw, points, *out_size), SLICE, position).where("threshold IS NOT NULL"))
+    slices = extents.select(*SLICE).distinct()
+    order = P.outward_order(slices, start if start is not None else slices.select("volume_id", F.lit(None).cast("int").alias("ref_z")).limit(0))
+    carried = S.carry_thresholds(here, order)
+    if stored is not None:
+        carried = carried.join(stored.select("volume_id", F.col("threshold").alias("_stored")), "volume_id", "left").select(*SLICE, F.coalesce("threshold", "_stored").alias("threshold"))
+    thr = materialize(S.choose_thresholds(raw, here, carried, SLICE, mode, top_percent, manual))
+    masks = C.clean_up(R.encode_runs(S.apply_threshold(raw, thr, SLICE).select(*SLICE, "y", "x")), extents, voxel_um[1:], smooth_px, fill_holes_um2, min_object_um2)
     if roi is not None:
         masks = R.intersection(masks, roi)
     masks = materialize(masks)
-    return {"masks": masks, **measure_stack(masks, extents, voxel_um, image, reference, roi, thr)}
+    every = slices.join(thr, SLICE, "left").withColumn("threshold_source", F.coalesce("threshold_source", F.lit("no example")))
+    return {"masks": masks, **measure_stack(masks, extents, voxel_um, image, reference, roi, every)}
+
+
+def save_stack(result: dict[str, DataFrame], path: str) -> None:
+    """Write what a stack run returns below path: masks as runs (Parquet), slices and objects_3d as CSV with a header,
+    summary as JSON lines. Spark writes every table in parts."""
+    for name, df in result.items():
+        if name == "masks":
+            df.write.parquet(f"{path}/masks")
+        elif name == "summary":
+            df.write.json(f"{path}/summary", ignoreNullFields=False)
+        else:
+            df.write.option("header", True).csv(f"{path}/{name}")
 
 
 def measure_stack(masks: DataFrame, extents: DataFrame, voxel_um=(1.0, 1.0, 1.0), image: DataFrame | None = None, reference: DataFrame | None = None,
@@ -36,7 +66,7 @@ def measure_stack(masks: DataFrame, extents: DataFrame, voxel_um=(1.0, 1.0, 1.0)
     sl = [*by, "z"]
     slices = M.summarize_slices(masks, extents, image, voxel_um[1:], roi, sl)
     if thresholds is not None:
-        slices = slices.join(thresholds.select(*sl, F.col("heat_threshold").alias("threshold")), sl, "left")
+        slices = slices.join(thresholds.select(*sl, F.col("heat_threshold").alias("threshold"), *[c for c in ("threshold_source",) if c in thresholds.columns]), sl, "left")
     if reference is not None:
         slices = slices.join(M.compare(masks, reference, extents, voxel_um[1:], roi, sl).select(*sl, "dice", "iou", "hd95_um"), sl, "left")
     slices = materialize(slices.withColumn("z_um", F.col("z") * voxel_um[0]))
@@ -55,10 +85,11 @@ def measure_stack(masks: DataFrame, extents: DataFrame, voxel_um=(1.0, 1.0, 1.0)
 
 def run_stack_multi(labels: DataFrame, extents: DataFrame, n: int, voxel_um=(1.0, 1.0, 1.0), image: DataFrame | None = None) -> dict[str, DataFrame]:
     """Measurements per structure of label maps (keys, y, x, label): the structure is one more key, all structures run
-    in the same jobs."""
+    in the same jobs. Structure 0 is the union of all."""
     by = ["volume_id", "structure"]
-    masks = R.encode_runs(labels.where("label > 0").withColumnRenamed("label", "structure"), [*by, "z"])
-    each = lambda d: d.withColumn("structure", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    both = labels.where("label > 0").withColumn("structure", F.explode(F.array(F.lit(0), F.col("label")))).drop("label")
+    masks = R.encode_runs(both, [*by, "z"])
+    each = lambda d: d.withColumn("structure", F.explode(F.sequence(F.lit(0), F.lit(n))))
     return measure_stack(masks, each(extents), voxel_um, each(image) if image is not None else None, by=by)
 
 
