@@ -38,12 +38,12 @@ def _seeds(d: DataFrame, span: int, masks) -> DataFrame:
     return exploded.withColumn("at", (F.col("_pos") / n).cast("int")).drop("_pos")
 
 
-def _joined(rows: DataFrame, bench: DataFrame, on: list[str], window) -> DataFrame:
-    """rows with h and at meet bench; w is the window of the row. Short benchmarks are broadcast; else both sides are shuffled,
-    and rows carry their window only, not the whole text."""
+def _joined(rows: DataFrame, bench: DataFrame, on: list[str], span):
+    """rows with h and at meet bench, and how to read word k of the row's window. Short benchmarks are broadcast; else both
+    sides are shuffled, and rows carry their window only, not the whole text."""
     if bench.count() <= SEED_ROWS:
-        return rows.join(F.broadcast(bench), on).withColumn("w", window)
-    return rows.withColumn("w", window).drop("h").join(bench, on)
+        return rows.join(F.broadcast(bench), on), lambda k: F.get("h", F.col("at") + k)
+    return rows.withColumn("w", F.slice(F.col("h"), F.col("at") + 1, span)).drop("h").join(bench, on), lambda k: F.get("w", F.lit(k))
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text", substitutions: int = SUBSTITUTIONS) -> DataFrame:
@@ -58,8 +58,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
     hashed = _hashed(items, item, item_text).withColumnRenamed(item, "_item")
     bench = _seeds(hashed, SPAN, MASKS).select("_item", F.col("at").alias("item_at"), F.slice(F.col("h"), F.col("at") + 1, SPAN).alias("item_h"), "seed").where("seed IS NOT NULL").distinct()
     texts = _hashed(docs, key, text)
-    hits = _joined(_seeds(texts, SPAN, MASKS), bench, ["seed"], F.slice(F.col("h"), F.col("at") + 1, SPAN))
-    equal = sum((F.get("w", F.lit(k)) == F.get("item_h", F.lit(k))).cast("int") for k in range(SPAN))
+    hits, word = _joined(_seeds(texts, SPAN, MASKS), bench, ["seed"], F.lit(SPAN))
+    equal = sum((word(k) == F.get("item_h", F.lit(k))).cast("int") for k in range(SPAN))
     long = hits.select(key, F.col("_item").alias(item), F.col("at").alias("doc_at"), "item_at", equal.alias("equal"), F.lit(SPAN).alias("span")).where(F.col("equal") >= SPAN - substitutions)
     short = hashed.where(F.size("h").between(SHORTEST, SPAN - 1)).select("_item", F.col("h").alias("item_h"), F.size("h").alias("span"), F.xxhash64("h").alias("seed")).distinct()
     spans = sorted(r["span"] for r in short.select("span").distinct().collect())   # SPAN - SHORTEST numbers at most
@@ -69,7 +69,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
         F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(n.alias("span"), i.alias("at"), F.xxhash64(F.slice("h", i + 1, n)).alias("seed")))).otherwise(
             F.array().cast("array<struct<span:int,at:int,seed:bigint>>"))))
     rows = texts.withColumn("_w", windows).select(key, "h", F.explode("_w").alias("_w")).select(key, "h", "_w.*")
-    whole = _joined(rows, short, ["span", "seed"], F.slice(F.col("h"), F.col("at") + 1, F.col("span"))).where("w = item_h")
+    whole, word = _joined(rows, short, ["span", "seed"], F.col("span"))
+    for k in range(SPAN - 1):
+        whole = whole.where((F.col("span") <= k) | (word(k) == F.get("item_h", F.lit(k))))
     return long.unionAll(whole.select(key, F.col("_item").alias(item), F.col("at").alias("doc_at"), F.lit(0).alias("item_at"), F.col("span").alias("equal"), "span"))
 
 
