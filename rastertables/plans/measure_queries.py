@@ -378,12 +378,12 @@ def j11(spark, sf):
 
 @query("q3_hierarchical_bootstrap")
 def q3(spark, sf):
-    return T.hierarchical_bootstrap(evals(spark, sf), ["method"], "sample", ["z", "seed"], "dice", 200)
+    return T.hierarchical_bootstrap(evals(spark, sf), ["method"], "sample", ["z", "seed"], "dice")
 
 
 @query("q4_bootstrap")
 def q4(spark, sf):
-    return T.bootstrap(evals(spark, sf), ["method"], ["sample", "z", "seed"], "dice", 100)
+    return T.bootstrap(evals(spark, sf), ["method"], ["sample", "z", "seed"], "dice")
 
 
 @query("q7_paired_difference_share", ev(f"SELECT {s6('avg(d)', 'mean_diff')}, {s6('avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END)', 'wins')}, count(*) AS n FROM (SELECT a.dice - b.dice AS d FROM (SELECT * FROM ev WHERE method = 'mid') a JOIN (SELECT * FROM ev WHERE method = 'low') b USING (sample, z, seed))"))
@@ -395,7 +395,7 @@ def q7(spark, sf):
 @query("q7_paired_difference_interval")
 def q7_interval(spark, sf):
     p = T.paired(evals(spark, sf), ["sample", "z", "seed"], "method", "mid", "low", "dice").withColumn("pair", F.lit("mid-low"))
-    return T.hierarchical_bootstrap(p, ["pair"], "sample", ["z", "seed"], "diff", 200)
+    return T.hierarchical_bootstrap(p, ["pair"], "sample", ["z", "seed"], "diff")
 
 
 @query("q11_method_summary", ev(f"SELECT method, {s6('avg(d)', 'dice')}, {s6('avg(b)', 'area_bias')}, {s6('avg(d - c)', 'drop_vs_clean')} FROM (SELECT method, sample, avg(dice) AS d, avg(area_pred - area_gt) AS b FROM ev GROUP BY 1, 2) JOIN (SELECT sample, avg(dice) AS c FROM ev WHERE method = 'mid' GROUP BY 1) USING (sample) GROUP BY 1"))
