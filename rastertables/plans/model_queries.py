@@ -9,6 +9,7 @@ from ..operators import runs as R
 from ..operators import sampling as N
 from ..operators import scoring as SC
 from ..operators import stats as T
+from ..operators import training as LT
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import lattice as L
 from . import score_queries as SQ
@@ -187,13 +188,26 @@ def rule_l4(slices):
 
 
 def held_out(spark, sf):
+    """Both kinds of model with and without neighbourhood features, one fold a slice, scored on the image grid."""
     s = samples(spark, sf)
-    return ML.cross_validate(s, {"linear": ML.fit_linear, "linear, context 3": lambda t: ML.fit_linear(t, 1e-2)}, rule_l4(s))
+    truth = s.where("target > 0.5").select(*SL, F.explode(F.sequence(F.col("gy") * 2, F.col("gy") * 2 + 1)).alias("y"), "gx").select(*SL, "y", F.explode(F.sequence(F.col("gx") * 2, F.col("gx") * 2 + 1)).alias("x"))
+    trained = LT.train_folds(s, 64, n_folds=5, hidden=16, rounds=30)
+    return LT.select_candidate(trained, truth, (10, 10), (20, 20))
 
 
 @query("l5_model_selection")
 def l5(spark, sf):
-    return ML.select_model(held_out(spark, sf))
+    return held_out(spark, sf)[0]
+
+
+@query("l9_trained_profile")
+def l9_profile(spark, sf):
+    """The chosen model with its threshold, and what it makes of all slices."""
+    model = materialize(held_out(spark, sf)[1])
+    p = LT.predict(model, L.patch_vectors(spark, sf), 64)
+    m = model.first()   # One row: a profile
+    on = (F.col("value") >= m["threshold"]).cast("long")
+    return p.groupBy(*SL).agg(F.sum(on).alias("n_patches")).withColumns({"candidate": F.lit(m["candidate"]), "threshold": F.lit(m["threshold"])})
 
 
 CAL = "h AS (SELECT volume_id, z, least(q / 100, 1.0) AS v, p >= 35000 AS t FROM dense), d AS (SELECT c.c AS threshold, volume_id, z, CASE WHEN count(*) FILTER (v >= c.c) + count(*) FILTER (t) = 0 THEN 1 ELSE 2.0 * count(*) FILTER (v >= c.c AND t) / (count(*) FILTER (v >= c.c) + count(*) FILTER (t)) END AS dice FROM h CROSS JOIN (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in ML.THRESHOLDS) + ") c(c) GROUP BY 1, 2, 3), m AS (SELECT threshold, avg(dice) AS dice FROM d GROUP BY 1)"
