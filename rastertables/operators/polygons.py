@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import SLICE
+from .grid import as_col
 
 
 def parse_polygons(text: Column, cls: str = "0") -> Column:
@@ -32,17 +33,29 @@ def contains(poly: Column, y: Column, x: Column) -> Column:
     return F.aggregate(_edges(poly), F.lit(0), lambda s, e: s + F.when((e["ay"] > y) != (e["by"] > y), crosses(e).cast("int")).otherwise(0)) % 2 == 1
 
 
+def polygon_runs(polygons: DataFrame, height: Column, width: Column, poly: str = "poly") -> DataFrame:
+    """Scan conversion: the columns of polygons but the corners, y, x0, x1 (exclusive) for every stretch of an image row that
+    lies inside by the even-odd rule. An image row's crossings with the edges are sorted and paired; the work is edges times
+    rows, whatever the polygon's width, and nothing is shuffled. Fewer than three corners give no runs."""
+    others = [c for c in polygons.columns if c not in (poly, "y", "x0", "x1")]
+    p = polygons.where(F.size(poly) >= 3).withColumn("_edges", F.filter(_edges(F.col(poly)), lambda e: e["ay"] != e["by"]))
+    lo = F.aggregate("_edges", F.lit(float("inf")), lambda s, e: F.least(s, e["ay"], e["by"]))
+    hi = F.aggregate("_edges", F.lit(float("-inf")), lambda s, e: F.greatest(s, e["ay"], e["by"]))
+    p = p.where(F.size("_edges") > 0).withColumns({"_y0": F.greatest(F.ceil(lo).cast("int"), F.lit(0)), "_y1": F.least(F.ceil(hi).cast("int"), as_col(height)) - 1, "_w": as_col(width)})
+    rows = p.where("_y0 <= _y1").select(*others, "_edges", "_w", F.explode(F.sequence("_y0", "_y1")).alias("y"))
+    y = F.col("y").cast("double")
+    met = F.filter("_edges", lambda e: (e["ay"] > y) != (e["by"] > y))
+    crossings = F.sort_array(F.transform(met, lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
+    rows = rows.withColumn("_c", crossings).where(F.size("_c") > 0)   # An outline crosses a row an even number of times
+    at = lambda k: F.least(F.greatest(F.ceil(F.get("_c", k)).cast("int"), F.lit(0)), F.col("_w"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_c") - 2, F.lit(2)), lambda k: F.struct(at(k).alias("x0"), at(k + 1).alias("x1")))
+    return rows.select(*others, "y", F.inline(F.filter(pairs, lambda r: r["x0"] < r["x1"])))
+
+
 def polygon_rows(polygons: DataFrame, height: Column, width: Column, keys: list[str] = SLICE, poly: str = "poly") -> DataFrame:
-    """Pixel runs candidates of every polygon: one row per image row its bounding box meets, with the column range.
-    A pixel is only ever tested against the polygons whose box holds it."""
-    lo = lambda f: F.aggregate(poly, F.lit(float("inf")), lambda s, c: F.least(s, c[f]))
-    hi = lambda f: F.aggregate(poly, F.lit(float("-inf")), lambda s, c: F.greatest(s, c[f]))
-    b = polygons.where(F.size(poly) >= 3).withColumns({
-        "_y0": F.greatest(F.ceil(lo("y")).cast("int"), F.lit(0)), "_y1": F.least(F.floor(hi("y")).cast("int"), height - 1),
-        "_x0": F.greatest(F.ceil(lo("x")).cast("int"), F.lit(0)), "_x1": F.least(F.floor(hi("x")).cast("int"), width - 1)})
-    b = b.where((F.col("_y0") <= F.col("_y1")) & (F.col("_x0") <= F.col("_x1")))
-    rows = b.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1"))).drop("_y0", "_y1", "_x0", "_x1")
-    return rows.where(contains(F.col(poly), F.col("y").cast("double"), F.col("x").cast("double")))
+    """The pixels (y, x) inside every polygon, with the polygon's other columns but its corners."""
+    runs = polygon_runs(polygons, height, width, poly)
+    return runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).drop("x0", "x1")
 
 
 def rasterise(polygons: DataFrame, height: Column, width: Column, keys: list[str] = SLICE, poly: str = "poly") -> DataFrame:
@@ -53,5 +66,6 @@ def rasterise(polygons: DataFrame, height: Column, width: Column, keys: list[str
 
 
 def region_mask(regions: DataFrame, height: Column, width: Column, keys: list[str] = ["volume_id"], poly: str = "roi") -> DataFrame:
-    """Pixels of a region of interest; fewer than three corners means no region."""
-    return polygon_rows(regions, height, width, keys, poly).select(*keys, "y", "x").distinct()
+    """Pixels of a region of interest; fewer than three corners means no region. Regions that overlap are joined as runs."""
+    from .runs import covered, decode_runs
+    return decode_runs(covered(polygon_runs(regions.select(*keys, poly), height, width, poly), 1, keys)).select(*keys, "y", "x")
