@@ -141,12 +141,13 @@ def prompts(labelled: DataFrame, extents: DataFrame, k: int = 5, n_background: i
     return point.unionByName(box).unionByName(background).unionByName(as_rows(pick(free, n_background, seed, "free", keys), "box_background"))
 
 
-def stratified_items(items: DataFrame, batch: str, per_split: int, seed: int = 0, candidates: int = 40) -> DataFrame:
-    """Even wells to development, odd ones to test: a random candidate set per batch and split, of which the first
-    per_split holding an object are kept. items: batch, well, name, has_object."""
+def stratified_items(items: DataFrame, batch: str, per_split: int, seed: int = 0, candidates: int | None = None) -> DataFrame:
+    """Even wells to development, odd ones to test: in a random order per batch and split (its first `candidates` only, if
+    given), the first per_split items holding an object. items: batch, well, name, has_object."""
     s = items.withColumn("split", F.when(F.col("well") % 2 == 0, "dev").otherwise("test"))
     h = F.xxhash64(F.lit(seed), batch, "name")
-    c = s.withColumn("_k", F.row_number().over(Window.partitionBy(batch, "split").orderBy(h, "name"))).where(F.col("_k") <= candidates)
+    c = s.withColumn("_k", F.row_number().over(Window.partitionBy(batch, "split").orderBy(h, "name")))
+    c = c if candidates is None else c.where(F.col("_k") <= candidates)
     k = c.where("has_object").withColumn("_j", F.row_number().over(Window.partitionBy(batch, "split").orderBy("_k")))
     return k.where(F.col("_j") <= per_split).drop("_k", "_j")
 

@@ -347,8 +347,11 @@ def profile_kind(profiles: DataFrame, structures: DataFrame) -> DataFrame:
 
 
 def resolve_profile(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Profile of each requested name or id prefix: exactly one match resolves, anything else reports why."""
-    m = wanted.join(profiles.select("profile_id", "name"), F.col("profile_id").startswith(F.col("spec")) | (F.col("name") == F.col("spec")), "left")
+    """Profile of each distinct requested name or id prefix: exactly one match resolves, anything else reports why."""
+    # Every beginning of an id is a row, so both ways of asking are equi-joins
+    starts = F.transform(F.sequence(F.lit(0), F.length("profile_id")), lambda n: F.substring(F.col("profile_id"), F.lit(1), n))
+    asked = profiles.select("profile_id", F.explode(F.array_distinct(F.concat(starts, F.array(F.coalesce("name", F.lit("")))))).alias("spec"))
+    m = wanted.select("spec").distinct().join(asked, "spec", "left")
     g = m.groupBy("spec").agg(F.count("profile_id").alias("n"), F.min("profile_id").alias("profile_id"))
     return g.select("spec", F.when(F.col("n") == 1, F.col("profile_id")).alias("profile_id"),
                     F.when(F.col("n") == 0, "no profile matches").when(F.col("n") > 1, "several profiles match").alias("problem"))

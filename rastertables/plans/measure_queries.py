@@ -363,10 +363,10 @@ def j12(spark, sf):
     return b.select("seed", "sample", "method", r6(F.col("dev_score"), "dev_score"))
 
 
-@query("q10_sensitivity_sweep", ev(f"SELECT 20 + 3 * seed AS cut, {s6('avg(d)', 'mean')}, {s6('stddev_samp(d)', 'sd')} FROM (SELECT seed, sample, avg(dice) AS d FROM ev WHERE method = 'low' GROUP BY 1, 2) GROUP BY 1"))
+@query("q10_sensitivity_sweep", ev(f"SELECT method, 20 + 3 * seed AS cut, {s6('avg(d)', 'mean')}, {s6('stddev_samp(d)', 'sd')} FROM (SELECT method, seed, sample, avg(dice) AS d FROM ev GROUP BY 1, 2, 3) GROUP BY 1, 2"))
 def q10(spark, sf):
-    e = evals(spark, sf).where("method = 'low'").withColumn("cut", 20 + 3 * F.col("seed"))
-    return T.two_level_summary(e, ["cut"], "sample", "dice").select("cut", r6(F.col("mean"), "mean"), r6(F.col("sd"), "sd"))
+    e = evals(spark, sf).withColumn("cut", 20 + 3 * F.col("seed"))
+    return T.two_level_summary(e, ["method", "cut"], "sample", "dice").select("method", "cut", r6(F.col("mean"), "mean"), r6(F.col("sd"), "sd"))
 
 
 @query("j11_settings_grid", "SELECT p_size AS size, CAST(a.l AS INTEGER) AS edge, b.p AS position, count(*) AS n FROM part CROSS JOIN range(3) a(l) CROSS JOIN (VALUES (0.5::DOUBLE), (0.7), (0.9)) b(p) GROUP BY 1, 2, 3")
@@ -506,9 +506,9 @@ def j13(spark, sf):
     return L.table(spark, sf, "customer").select(F.col("c_custkey").alias("volume_id")).join(latest, "volume_id", "left")
 
 
-@query("w8_worst_median_best", ev("SELECT sample, z, c.c AS \"case\" FROM (SELECT sample, z, row_number() OVER w AS i, count(*) OVER (PARTITION BY sample) AS n FROM ev WHERE method = 'mid' AND seed = 0 WINDOW w AS (PARTITION BY sample ORDER BY dice, z)) JOIN (VALUES ('worst'), ('median'), ('best')) c(c) ON (c.c = 'worst' AND i = 1) OR (c.c = 'median' AND i = n // 2 + 1) OR (c.c = 'best' AND i = n)"))
+@query("w8_worst_median_best", ev("SELECT sample, method, seed, z, c.c AS \"case\" FROM (SELECT sample, method, seed, z, row_number() OVER w AS i, count(*) OVER (PARTITION BY sample, method, seed) AS n FROM ev WINDOW w AS (PARTITION BY sample, method, seed ORDER BY dice, z)) JOIN (VALUES ('worst'), ('median'), ('best')) c(c) ON (c.c = 'worst' AND i = 1) OR (c.c = 'median' AND i = n // 2 + 1) OR (c.c = 'best' AND i = n)"))
 def w8(spark, sf):
-    return P.worst_median_best(evals(spark, sf).where("method = 'mid' AND seed = 0"), ["sample"], "dice", "z").select("sample", "z", "case")
+    return P.worst_median_best(evals(spark, sf), ["sample", "method", "seed"], "dice", "z").select("sample", "method", "seed", "z", "case")
 
 
 @query("w9_top_settings", ev(f"SELECT sample, method, {s6('m', 'score')}, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(m, 12) DESC, method) AS k FROM (SELECT sample, method, avg(dice) AS m FROM ev GROUP BY 1, 2)) WHERE k <= 2"))
@@ -516,9 +516,9 @@ def w9(spark, sf):
     return P.top_settings(evals(spark, sf), ["sample"], "method", "dice", 2).select("sample", "method", r6(F.col("score"), "score"), "rank")
 
 
-@query("w10_sorted_output", ev(f"SELECT sample, z, {s6('dice', 'dice')} FROM ev WHERE method = 'mid' AND seed = 0 ORDER BY sample, z"))
+@query("w10_sorted_output", ev(f"SELECT method, seed, sample, z, {s6('dice', 'dice')} FROM ev ORDER BY method, seed, sample, z"))
 def w10(spark, sf):
-    return evals(spark, sf).where("method = 'mid' AND seed = 0").select("sample", "z", r6(F.col("dice"), "dice")).orderBy("sample", "z")
+    return evals(spark, sf).select("method", "seed", "sample", "z", r6(F.col("dice"), "dice")).orderBy("method", "seed", "sample", "z")
 
 
 @query("j7_nearest_processed_slice", L.with_views("slices") + "SELECT volume_id, z, CASE WHEN z % 4 = 1 THEN z - 1 WHEN z % 4 = 3 THEN z + 1 WHEN z % 4 = 2 THEN z - 2 ELSE z END AS nearest_z FROM slices WHERE CASE WHEN z % 4 = 3 THEN z + 1 ELSE z END <= 6")

@@ -25,10 +25,10 @@ def to_sql(a, b):
     return f"(SELECT a.volume_id, a.z, a.y, a.x, min(sqrt(((a.y - b.y) * 0.5) ** 2 + ((a.x - b.x) * 0.5) ** 2)) AS d FROM {a} a JOIN {b} b USING (volume_id, z) GROUP BY 1, 2, 3, 4)"
 
 
-@query("g19_distance_transform", L.with_views("dense", extra="few AS (SELECT volume_id, z, y, x FROM dense WHERE q >= 60)") + f"""
+@query("g19_distance_transform", L.with_views("dense", extra="few AS (SELECT volume_id, z, y, x FROM dense WHERE q >= 30)") + f"""
 SELECT a.volume_id, a.z, a.y, a.x, {s6('min(sqrt(((a.y - b.y) * 2.0) ** 2 + ((a.x - b.x) * 0.5) ** 2))', 'dist')} FROM dense a JOIN few b USING (volume_id, z) GROUP BY 1, 2, 3, 4""")
 def g19(spark, sf):
-    few = R.encode_runs(L.lattice(spark, sf).where("q >= 60").select(*PX))
+    few = R.encode_runs(L.lattice(spark, sf).where("q >= 30").select(*PX))
     return D.distance_transform(few, L.slices(spark, sf), (2.0, 0.5)).select(*PX, r6(F.col("dist"), "dist"))
 
 
@@ -46,11 +46,11 @@ def m4(spark, sf):
     return D.surface_dice(p, r, L.slices(spark, sf), 0.6, (0.5, 0.5)).select("volume_id", "z", r6(F.col("nsd"), "nsd"))
 
 
-@query("j6_nearest_neighbour", L.with_views("lattice", extra="few AS (SELECT volume_id, z, y * 0.5 AS cy, x * 0.5 AS cx FROM lattice WHERE q >= 60)") + f"""
+@query("j6_nearest_neighbour", L.with_views("lattice", extra="few AS (SELECT volume_id, z, y * 0.5 AS cy, x * 0.5 AS cx FROM lattice WHERE q >= 30)") + f"""
 SELECT a.volume_id, a.z, a.cy, a.cx, {s6('min(sqrt((a.cy - b.cy) ** 2 + (a.cx - b.cx) ** 2))', 'nearest')}
 FROM few a LEFT JOIN few b ON b.volume_id = a.volume_id AND b.z = a.z AND (b.cy <> a.cy OR b.cx <> a.cx) GROUP BY 1, 2, 3, 4""")
 def j6(spark, sf):
-    few = L.lattice(spark, sf).where("q >= 60").select("volume_id", "z", (F.col("y") * 0.5).alias("cy"), (F.col("x") * 0.5).alias("cx"))
+    few = L.lattice(spark, sf).where("q >= 30").select("volume_id", "z", (F.col("y") * 0.5).alias("cy"), (F.col("x") * 0.5).alias("cx"))
     nn = D.nearest_neighbour(few, ["volume_id", "z"], ["cy", "cx"], 4.0)
     return nn.select("volume_id", "z", "cy", "cx", r6(F.col("nearest_neighbour_um"), "nearest"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import banded_ordinal
+
 from ..operators.settings import channel_choice
 
 
@@ -86,9 +88,12 @@ def unfinished(wanted: DataFrame, done: DataFrame, unit: list[str], part: list[s
 
 
 def relabel(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Ids numbered 1.. without gaps. Distinct ids are few against the rows, so only they are ranked."""
-    ids = rows.select(*keys, label).distinct().withColumn("_new", F.row_number().over(Window.partitionBy(*keys).orderBy(label)))
-    return rows.join(ids, [*keys, label]).withColumn(label, F.col("_new")).drop("_new")
+    """Ids numbered 1.. without gaps, in their order. Only distinct ids are ranked, in bands of 4096 numbers (or of three
+    letters), so a key may hold any number of them."""
+    ids = rows.select(*keys, label).distinct()
+    band = F.substring(label, 1, 3) if ids.schema[label].dataType.simpleString() == "string" else F.floor(F.col(label) / 4096)
+    new = banded_ordinal(ids, keys, band, [label], "_new")
+    return rows.join(new, [*keys, label]).withColumn(label, (F.col("_new") + 1).cast("int")).drop("_new")
 
 
 def collapse_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
