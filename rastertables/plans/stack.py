@@ -1,7 +1,7 @@
 """Whole-stack runs composed from the operators: no loop over slices, every slice is scored in the same job."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import components as C
@@ -102,12 +102,19 @@ def study(volumes: DataFrame, runs: DataFrame, metrics: list[str]) -> DataFrame:
 
 def threshold_transfers(values: DataFrame, thresholds: DataFrame, dataset: str) -> DataFrame:
     """Every reference slice's threshold applied to every target slice of the data set, scored and classed as same
-    slice, same file or other file. Targets are first counted per distinct value, so pairs meet counts, not pixels.
-
-    values: dataset, volume_id, z, value, truth; thresholds: dataset, ref_volume, ref_z, threshold."""
-    c = values.groupBy(dataset, *SLICE, "value").agg(F.count("*").alias("n"), F.sum(F.col("truth").cast("long")).alias("t"))
-    j = c.join(thresholds, dataset)
-    on = F.col("value") >= F.col("threshold")
-    s = j.groupBy(dataset, "ref_volume", "ref_z", *SLICE).agg(F.sum(F.when(on, F.col("n")).otherwise(0)).alias("n_pred"), F.sum("t").alias("n_ref"), F.sum(F.when(on, F.col("t")).otherwise(0)).alias("n_both"))
+    slice, same file or other file: one row per pair.
+
+    Targets are counted per distinct value. The thresholds are then merged into each target's falling values, and running
+    totals give what lies at or above them, so a pair costs one row, not the target's values. A null threshold selects
+    nothing. values: dataset, volume_id, z, value, truth; thresholds: dataset, ref_volume, ref_z, threshold."""
+    c = materialize(values.groupBy(dataset, *SLICE, "value").agg(F.count("*").alias("n"), F.sum(F.col("truth").cast("long")).alias("t")))
+    total = c.groupBy(dataset, *SLICE).agg(F.sum("t").alias("n_ref"))
+    none = F.lit(0).cast("long")
+    pairs = total.join(thresholds.select(dataset, "ref_volume", "ref_z", "threshold"), dataset)
+    merged = c.withColumns({"ref_volume": F.lit(None), "ref_z": F.lit(None), "threshold": F.lit(None), "n_ref": F.lit(None)}).withColumn("_asks", F.lit(0)).unionByName(
+        pairs.withColumns({"value": F.col("threshold"), "n": none, "t": none, "_asks": F.lit(1)}))
+    above = Window.partitionBy(dataset, *SLICE).orderBy(F.desc("value"), "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    given = F.col("threshold").isNotNull().cast("long")
+    s = merged.withColumns({"n_pred": F.sum("n").over(above), "n_both": F.sum("t").over(above)}).where("_asks = 1").withColumns({"n_pred": F.col("n_pred") * given, "n_both": F.col("n_both") * given})
     kind = F.when((F.col("ref_volume") == F.col("volume_id")) & (F.col("ref_z") == F.col("z")), "same slice").when(F.col("ref_volume") == F.col("volume_id"), "same file").otherwise("other file")
     return s.select(dataset, "ref_volume", "ref_z", *SLICE, M.dice().alias("dice"), kind.alias("transfer"))
