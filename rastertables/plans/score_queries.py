@@ -245,11 +245,7 @@ def t12_clean(spark, sf):
     return S.clean_labels(t12(spark, sf), ext, 3, (1.0, 1.0), 0, 2.0, 2.0)
 
 
-def few_points(spark, sf):
-    return protos(spark, sf).where(F.col("ord") % 500 < 40)
-
-
-FEW = PROTO + """, fp AS (SELECT *, list_transform(vec, lambda e: e / sqrt(list_dot_product(vec, vec))) AS u FROM protos WHERE ord % 500 < 40),
+ALL_POINTS = PROTO + """, fp AS (SELECT *, list_transform(vec, lambda e: e / sqrt(list_dot_product(vec, vec))) AS u FROM protos),
 fd AS (SELECT v.volume_id, v.z, v.gy, v.gx, p.polarity, p.ord, list_dot_product(v.vec, p.u) AS d FROM patches v JOIN fp p ON p.volume_id = v.volume_id),
 fa AS (SELECT volume_id, z, gy, gx, avg(d) FILTER (polarity = 'pos') - avg(d) FILTER (polarity = 'neg') AS s, sum(d) FILTER (polarity = 'pos') AS sp, sum(d) FILTER (polarity = 'neg') AS sn,
  count(*) FILTER (polarity = 'pos') AS np, count(*) FILTER (polarity = 'neg') AS nn FROM fd GROUP BY 1, 2, 3, 4),
@@ -257,7 +253,6 @@ fs AS (SELECT *, min(s) OVER (PARTITION BY volume_id, z) AS lo, max(s) OVER (PAR
 fx AS (SELECT f.*, CASE WHEN polarity = 'pos' THEN (sp - d) / (np - 1) - sn / nn WHEN nn > 1 THEN sp / np - (sn - d) / (nn - 1) ELSE sp / np END AS s2 FROM fs f JOIN fd USING (volume_id, z, gy, gx) WHERE NOT (polarity = 'pos' AND np = 1))"""
 
 
-ALL_POINTS = FEW.replace(" WHERE ord % 500 < 40", "")
 FLIPS = f"""
 SELECT volume_id, z, gy, gx, {s6('avg(CASE WHEN (least(greatest((s2 - lo) / (hi - lo), 0), 1) >= 0.6) <> ((s - lo) / (hi - lo) >= 0.6) THEN 1.0 ELSE 0.0 END)', 'uncertainty')} FROM fx GROUP BY 1, 2, 3, 4"""
 
@@ -268,13 +263,8 @@ def left_out(spark, sf, p):
     return u.select("volume_id", "z", "gy", "gx", r6(F.col("value"), "uncertainty"))
 
 
-@query("t13_uncertainty_leave_one_out", L.with_views("patches", extra=FEW) + FLIPS)
+@query("t13_uncertainty_leave_one_out", L.with_views("patches", extra=ALL_POINTS) + FLIPS)
 def t13(spark, sf):
-    return left_out(spark, sf, few_points(spark, sf))
-
-
-@query("t13_uncertainty_leave_one_out_all_points", L.with_views("patches", extra=ALL_POINTS) + FLIPS)
-def t13_all(spark, sf):
     return left_out(spark, sf, protos(spark, sf))
 
 
