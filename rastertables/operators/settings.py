@@ -13,7 +13,7 @@ SETTINGS = {
 # Words a setting may be, lowest and highest numbers (None: no bound)
 WORDS = {"threshold_mode": ("clicks", "top_percent", "manual"), "score_norm": ("robust", "none"), "edge_refine": ("guided", "none"), "sam_refine": ("off", "agree", "replace"), "sam_model": ("sam", "microsam")}
 RANGES = {"vit_size": (14, 4200), "layer_from_end": (1, 40), "neg_weight": (0, 10), "top_percent": (0, 100), "manual_threshold": (0, None), "min_object_um2": (0, None), "fill_holes_um2": (0, None),
-          "smooth_px": (0, None), "guided_eps": (0, None), "shift_passes": (1, 4), "clip_low": (0, None), "clip_high": (None, 100)}
+          "smooth_px": (0, None), "guided_eps": (0, None), "shift_passes": (1, 4), "clip_low": (0, 100), "clip_high": (0, 100)}
 ABOVE_ZERO = ("top_percent", "guided_eps")
 
 
